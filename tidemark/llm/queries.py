@@ -2,8 +2,12 @@
 
 from tidemark.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from tidemark.llm.language_id import op10_language_id
+from tidemark.llm.ngram_jaccard import op2_ngram_jaccard
+from tidemark.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }
