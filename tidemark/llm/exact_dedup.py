@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, shared_dir
+from tidemark.llm.common import SPACES, shared_dir, write_table
 
 #: Rows of one group of copies that are compared with one copy of the kept text.
 ROWS_PER_COPY = 1000
@@ -40,6 +40,7 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.struct("doc_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     files = re.sub(r"(\w)/?$", r"[\1]", path)  # as a pattern, the path may also be one file
@@ -58,7 +59,7 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     out = keys.join(copies.select("digest", F.col("keep.doc_id").alias("first"), "n"), "digest", "left").select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "text_sha256", "digest")
 
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    hits = docs.select("doc_id", text.alias("body"), digest(text).alias("digest"), *where).join(copies, "digest")
+    hits = write_table(docs.select("doc_id", text.alias("body"), digest(text).alias("digest"), *where).join(copies, "digest"), "dedup-hits")
     parts = F.ceil(F.col("n") / ROWS_PER_COPY).cast("int")
     first = hits.filter("file = keep.file and row = keep.row").select("digest", F.col("body").alias("held"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     other = hits.withColumn("part", F.pmod(F.xxhash64("file", "row"), parts.cast("long")).cast("int")).join(first, ["digest", "part"]).filter("body <> held")

@@ -3,12 +3,16 @@
 from tidemark.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from tidemark.llm.language_id import op10_language_id
 from tidemark.llm.ngram_jaccard import op2_ngram_jaccard
+from tidemark.llm.substring_dedup import OP1_SQL, op1_sentence_runs
+from tidemark.llm.suffix_dedup import op7_suffix_dedup
 from tidemark.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op1_sentence_runs": op1_sentence_runs,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }
-SQL = {"op9_exact_dedup": OP9_SQL}
+SQL = {"op1_sentence_runs": OP1_SQL, "op9_exact_dedup": OP9_SQL}
