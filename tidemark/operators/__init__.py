@@ -1 +1 @@
-
+"""Relational operators and batch inference."""

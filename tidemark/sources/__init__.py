@@ -1 +1 @@
-
+"""Reading and writing tables, columns and model weights."""

@@ -1 +1 @@
-
+"""Time windows over tables and over streams."""
