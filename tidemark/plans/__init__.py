@@ -1,8 +1,8 @@
 """Registered queries: each group has QUERIES (callables of session and folder) and SQL for the same rows."""
 
-from tidemark.plans import relational
+from tidemark.plans import relational, tpch
 
-GROUPS = (relational,)
+GROUPS = (relational, tpch)
 
 
 def queries() -> dict:
