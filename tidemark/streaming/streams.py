@@ -34,7 +34,7 @@ def threshold_stream(stream: DataFrame, key: str, value: str, time: str, thresho
     kind = dict(stream.dtypes)[key]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, opened, n, total = state.get if state.exists else ([], -1, 0, 0.0)
+        waiting, opened, n, total = state.get if state.exists else ([], -1.0, 0, 0.0)
         rows = [tuple(x) for x in waiting]
         for pdf in batches:
             rows += zip((pdf["_t"]).tolist(), pdf["_v"].tolist())
@@ -47,7 +47,7 @@ def threshold_stream(stream: DataFrame, key: str, value: str, time: str, thresho
                 opened, n, total = (t if opened < 0 else opened), n + 1, total + v
             elif opened >= 0:
                 done.append((*k, opened, n, total))
-                opened, n, total = -1, 0, 0.0
+                opened, n, total = -1.0, 0, 0.0
         state.update(([list(r) for r in keep], opened, n, total))
         if keep:
             state.setTimeoutTimestamp(max(keep[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
