@@ -33,6 +33,13 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of a thousand rows: by default ten thousand long ones would be held at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > 1000:
+        spark.conf.set(key, "1000")
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Characters in all texts; sizes the number of buckets."""
     return docs.agg(F.sum(F.length("text"))).first()[0] or 0
