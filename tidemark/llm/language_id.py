@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
+
 #: The share of a document's block sizes by which the second language must be larger.
 MIN_MARGIN = 0.002
 #: The classifier is fitted on at most SLOTS texts of PIECE characters per language.
@@ -35,6 +37,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MI
     share is under ``margin``. Null text, or text without a letter: ``und``, 0, rejected. With equal
     sizes the language first in the alphabet wins. Without dictionaries every text is ``und``.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
 
     def tell(batches):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import write_table
 
 #: Rows a task gathers before it sends them, and rows of one key among them from which the key counts as heavy.
-CHUNK, HEAVY = 2_000_000, 256
+CHUNK, HEAVY = 1_000_000, 256
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -21,15 +21,18 @@ def _unplanes(data: memoryview, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
-def _pack(keys: np.ndarray, cols: list[np.ndarray], marks: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, each column as byte planes: most planes are nearly constant."""
+def _pack(keys: np.ndarray, cols: list[np.ndarray], marks: np.ndarray, counts: np.ndarray, firsts: np.ndarray) -> bytes:
+    """Sorted keys as differences, each column as byte planes: most planes are nearly constant.
+
+    ``marks`` are keys without rows, with their number of rows and (a row of ``firsts``) the first of them.
+    """
     import zstandard
 
-    parts = [_planes(np.diff(keys, prepend=np.uint64(0))), *(_planes(c) for c in cols), marks.tobytes(), counts.tobytes()]
+    parts = [_planes(np.diff(keys, prepend=np.uint64(0))), *(_planes(c) for c in cols), marks.tobytes(), counts.tobytes(), firsts.tobytes()]
     return np.array([len(keys), len(marks)], "<u4").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _unpack(data: bytes, width: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+def _unpack(data: bytes, width: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     import zstandard
 
     n, m = np.frombuffer(data[:8], "<u4").tolist()
@@ -38,12 +41,15 @@ def _unpack(data: bytes, width: int) -> tuple[np.ndarray, list[np.ndarray], np.n
     keys = np.cumsum(_unplanes(at(0), np.uint64), dtype=np.uint64) if n else np.zeros(0, np.uint64)
     cols = [_unplanes(at(i + 1), np.int64) if n else np.zeros(0, np.int64) for i in range(width)]
     rest = 8 * n * (width + 1)
-    return keys, cols, np.frombuffer(raw[rest : rest + 8 * m], np.uint64), np.frombuffer(raw[rest + 8 * m :], np.int64)
+    part = lambda i, k: raw[rest + 8 * m * i : rest + 8 * m * k]
+    return keys, cols, np.frombuffer(part(0, 1), np.uint64), np.frombuffer(part(1, 2), np.int64), np.frombuffer(part(2, 2 + width), np.int64).reshape(m, width)
 
 
-def shared_keys(docs: DataFrame, rows_of: Callable[[Iterator[pd.DataFrame]], Iterator[tuple[np.ndarray, list[np.ndarray]]]], names: list[str], buckets: int, name: str) -> DataFrame:
+def shared_keys(docs: DataFrame, rows_of: Callable[[Iterator[pd.DataFrame]], Iterator[tuple[np.ndarray, list[np.ndarray]]]], names: list[str], buckets: int, name: str, later: bool = False) -> DataFrame:
     """key, n and the columns ``names`` of every row whose key occurs at least twice; n is the number of its rows.
 
+    With ``later`` only the columns ``names``, without the first row of each key (by those columns in turn).
+
     ``rows_of`` makes (keys, columns) from batches of ``docs``. Keys go to ``buckets`` ranges, each of
     which is counted in one task. A key with more than HEAVY rows in a task's chunk only sends its
     count there; those rows are known to be shared, take no part in the shuffle to a bucket and get
@@ -57,26 +63,27 @@ def shared_keys(docs: DataFrame, rows_of: Callable[[Iterator[pd.DataFrame]], Ite
 
         def flush() -> Iterator[pd.DataFrame]:
             keys = np.concatenate([k for k, _ in held])
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            cols = [np.concatenate([c[i] for _, c in held])[order] for i in range(width)]
+            cols = [np.concatenate([c[i] for _, c in held]) for i in range(width)]
             held.clear()
+            order = np.lexsort([*cols[::-1], keys]) if later else np.argsort(keys, kind="stable")
+            keys, cols = keys[order], [c[order] for c in cols]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
             counts = np.diff(np.append(first, len(keys)))
             heavy = np.repeat(counts > HEAVY, counts)
-            marks, marked = keys[first[counts > HEAVY]], counts[counts > HEAVY].astype(np.int64)
+            at = first[counts > HEAVY]
+            marks, marked, firsts = keys[at], counts[counts > HEAVY].astype(np.int64), np.stack([c[at] for c in cols], 1)
             out = []
             at = np.flatnonzero(heavy)
             for lo in range(0, len(at), 100_000):
                 i = at[lo : lo + 100_000]
-                out.append((-1 - int(np.random.default_rng(int(keys[i[0]])).integers(1 << 62)), _pack(keys[i], [c[i] for c in cols], keys[:0], marked[:0])))
+                out.append((-1 - int(np.random.default_rng(int(keys[i[0]])).integers(1 << 62)), _pack(keys[i], [c[i] for c in cols], keys[:0], marked[:0], firsts[:0])))
             keys, cols = keys[~heavy], [c[~heavy] for c in cols]
-            ends = np.searchsorted(keys >> shift, np.arange(1 << int(64 - int(shift)), dtype=np.uint64), "right")
-            mends = np.searchsorted(marks >> shift, np.arange(1 << int(64 - int(shift)), dtype=np.uint64), "right")
+            upto = np.arange(1 << int(64 - int(shift)), dtype=np.uint64)
+            ends, mends = np.searchsorted(keys >> shift, upto, "right"), np.searchsorted(marks >> shift, upto, "right")
             lo = mlo = 0
             for b, (hi, mhi) in enumerate(zip(ends.tolist(), mends.tolist())):
                 if hi > lo or mhi > mlo:
-                    out.append((b, _pack(keys[lo:hi], [c[lo:hi] for c in cols], marks[mlo:mhi], marked[mlo:mhi])))
+                    out.append((b, _pack(keys[lo:hi], [c[lo:hi] for c in cols], marks[mlo:mhi], marked[mlo:mhi], firsts[mlo:mhi])))
                 lo, mlo = hi, mhi
             yield pd.DataFrame(out, columns=["bucket", "data"])
 
@@ -92,30 +99,44 @@ def shared_keys(docs: DataFrame, rows_of: Callable[[Iterator[pd.DataFrame]], Ite
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = [_unpack(x, width) for x in pdf["data"]]
         keys, cols = np.concatenate([g[0] for g in got]), [np.concatenate([g[1][i] for g in got]) for i in range(width)]
-        marks, marked = np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got])
+        marks, marked, firsts = (np.concatenate([g[i] for g in got]) for i in (2, 3, 4))
         del got
         if key[0] < 0:
             return frame(keys, np.full(len(keys), -1), np.full(len(keys), 2), cols)
         every, at = np.unique(np.concatenate([keys, marks]), return_inverse=True)
         total = np.bincount(at, np.concatenate([np.ones(len(keys), np.int64), marked]), len(every)).astype(np.int64)
+        told = np.unique(at[len(keys) :])
         n = total[at[: len(keys)]]
         keep = n > 1
-        told = np.unique(at[len(keys) :])
-        none = [np.zeros(len(told), np.int64)] * width
-        return pd.concat([frame(keys[keep], n[keep], np.zeros(keep.sum(), int), [c[keep] for c in cols]), frame(every[told], total[told], np.ones(len(told), int), none)])
+        if later:
+            both = [np.concatenate([c, firsts[:, i]]) for i, c in enumerate(cols)]
+            order = np.lexsort([*both[::-1], at])
+            head = order[np.r_[True, np.diff(at[order]) != 0]] if len(order) else order  # the first row of each key
+            keep &= np.any([c != b[head][at[: len(keys)]] for c, b in zip(cols, both)], axis=0)
+            least = np.stack([b[head][told] for b in both], 1)
+        else:
+            least = np.zeros((len(told), width), np.int64)
+        light = frame(keys[keep], n[keep], np.zeros(keep.sum(), int), [c[keep] for c in cols])
+        return pd.concat([light, frame(every[told], total[told], np.ones(len(told), int), list(least.T))])
 
     def frame(keys: np.ndarray, n: np.ndarray, kind: np.ndarray, cols: list[np.ndarray]) -> pd.DataFrame:
+        if later:
+            keys = np.where(kind == 0, 0, keys.view(np.int64))  # light rows need no key any more
         return pd.DataFrame({"key": keys.view(np.int64), "n": n, "kind": kind} | dict(zip(names, cols)))
 
     schema = ", ".join(["key long, n long, kind int", *(f"{c} long" for c in names)])
     sent = docs.mapInPandas(send, "bucket long, data binary")
     out = write_table(sent.groupBy("bucket").applyInPandas(count, schema), name)
-    light = out.filter("kind = 0").select("key", "n", *names)
+    light = out.filter("kind = 0")
+    if later:
+        known = out.filter("kind = 1").select("key", F.struct(*names).alias("first"))
+        heavy = out.filter("kind = 2").join(known, "key").filter(F.struct(*names) != F.col("first"))
+        return light.select(*names).union(heavy.select(*names))
     known = out.filter("kind = 1").select("key", "n")
     heavy = out.filter("kind = 2").select("key", *names).join(known, "key").select("key", "n", *names)
-    return light.unionByName(heavy)
+    return light.select("key", "n", *names).unionByName(heavy)
 
 
 def buckets_for(rows: int) -> int:
-    """Ranges of some four million rows each."""
-    return max(16, -(-rows // 4_000_000))
+    """Ranges of some half a million rows each."""
+    return max(64, -(-rows // 500_000))

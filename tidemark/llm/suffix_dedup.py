@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_bytes, write_table
+from tidemark.llm.common import small_batches, text_bytes, write_table
 from tidemark.llm.ngram_jaccard import _LETTER, _U, _mix, _power
 from tidemark.llm.packed import buckets_for, shared_keys
 
@@ -64,7 +64,7 @@ def _first_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray
             at, h = anchors(p, len(raw))
             lo, hi = around(at, len(raw))
             c = _mix(p.of(lo, hi) + (at - lo).astype(_U)) >> _U(16)
-            keys.append(h)
+            keys.append(_mix(h))  # least hashes are small ones: mixed again, they fill all ranges alike
             at_.append(at)
             ctx.append(c.view(np.int64))
             docs.append(np.full(len(at), doc, np.int64))
@@ -137,6 +137,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
 
     Null doc_ids take no part. Rows of one doc_id count as one document and must have one text.
     """
+    small_batches(docs.sparkSession)
     rows = docs.filter("doc_id is not null and octet_length(text) >= 100").select("doc_id", "text")
     found = shared_keys(rows, _first_buckets, ["doc", "at", "ctx"], buckets_for(text_bytes(rows) // 30), "buckets")
     parts = write_table(found.groupBy("key", "ctx").agg(F.min(F.struct("doc", "at")).alias("first")), "parts")
@@ -150,9 +151,8 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     zipped = rows.mapInPandas(_zip, "doc_id long, z binary")
     open_ = zipped.join(marks.filter("size(open) > 0").select("doc_id", "open"), "doc_id").dropDuplicates(["doc_id"])
     n = marks.agg(F.sum(F.size("open"))).first()[0] or 0
-    again = shared_keys(open_, _every_offset, ["doc", "at"], buckets_for(n * 40), "offsets")
-    first = again.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"))
-    strings = again.join(first, "key").filter(later).groupBy("doc").agg(F.collect_set("at").alias("strings")).withColumnRenamed("doc", "doc_id")
+    again = shared_keys(open_, _every_offset, ["doc", "at"], buckets_for(n * 40), "offsets", later=True)
+    strings = again.groupBy("doc").agg(F.collect_set("at").alias("strings")).withColumnRenamed("doc", "doc_id")
     final = write_table(marks.select("doc_id", "covered").join(strings, "doc_id", "full").filter("size(covered) > 0 or size(strings) > 0"), "cuts")
     return zipped.join(final, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(_cut, "doc_id long, n_removed long, n_spans long, edges array<long>, kept binary")
 
