@@ -12,6 +12,9 @@ BROADCAST_WINDOWS = 500_000
 #: Names of units.
 UNITS = "km|kg|cm|mm|mg|ml|mph|km/h|usd|eur|gbp|percent|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|feet|inches|pounds?|dollars?|euros?|cents?|grams?|liters?|litres?|m|g|l|h"
 
+#: Punctuation, which a template leaves out. Only characters up to 255, which are quick to look for.
+MARKS = r"[!-.:-?\[-`{-~\xA1\xAB\xB7\xBB\xBF]+"
+
 
 def tokens(text: Column) -> Column:
     """The words of a text as they are."""
@@ -25,20 +28,28 @@ def template(text: Column) -> Column:
     after or at a number is ``u``. All else is in lower case without punctuation.
     """
     t = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
-    t = F.regexp_replace(t, r"([^.!?\x20] )\p{Lu}\p{Ll}+", "$1@")
-    t = F.regexp_replace(F.lower(t), r"[0-9]+([.,:][0-9]+)*", "0")
-    t = F.regexp_replace(t, r"[^\p{L}\p{M}0@/\x20]+", "")
-    t = F.regexp_replace(t, rf"( |^)0 ({UNITS})( |$)", r"$1\\0 u$3")
-    return F.split(F.regexp_replace(t, rf"( |^)0({UNITS})( |$)", r"$1\\0u$3"), " ")
+    t = F.lower(F.regexp_replace(t, r"([^.!?\x20] )\p{Lu}\p{Ll}+", "$1@"))
+    plain = F.regexp_replace(t, MARKS, "")
+    full = F.regexp_replace(F.regexp_replace(t, r"[0-9]+([.,:][0-9]+)*", "0"), MARKS, "")
+    full = F.regexp_replace(full, rf"( |^)0 ({UNITS})( |$)", r"$1\\0 u$3")
+    full = F.regexp_replace(full, rf"( |^)0({UNITS})( |$)", r"$1\\0u$3")
+    # most texts have no number, and need no look for units
+    return F.split(F.when(text.rlike("[0-9]"), full).otherwise(plain), " ")
+
+
+#: What stands in a template for anything but a word.
+HOLES = ("", "@", "0", "u", "0u")
 
 
 def windows(rows: DataFrame, key: str, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """key, pos, h (hash of the window's canonical words), c and w (all canonical and plain words)."""
-    cut = rows.select(key, template(F.col("text")).alias("c"), tokens(F.col("text")).alias("w")).filter(F.size("c") >= window)
-    cut = cut.select(key, "c", "w", F.transform("c", lambda x: F.xxhash64(x)).alias("hs"), F.transform("c", lambda x: F.when(x.isin("", "@", "0", "u", "0u"), 0).otherwise(1)).alias("ls"))
-    cut = cut.select(key, "c", "w", "hs", "ls", F.explode(F.sequence(F.lit(0), F.size("c") - window)).alias("pos"))
-    at = lambda a, k: F.get(a, F.col("pos") + k)
-    return cut.filter(sum((at("ls", k) for k in range(window)), F.lit(0)) >= literals).select(key, "pos", F.xxhash64(*[at("hs", k) for k in range(window)]).alias("h"), "c", "w")
+    """key, pos, h (hash of the window's canonical words) and the whole text; words are cut out of it again for hits only."""
+    holes = [F.xxhash64(F.lit(x)) for x in HOLES]
+    cut = rows.select(key, "text", F.transform(template(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"))
+    # no filter on the size: it would be pushed below, and all templates made twice
+    cut = cut.select(key, "text", "hs", F.explode(F.when(F.size("hs") >= window, F.sequence(F.lit(0), F.size("hs") - window))).alias("pos"))
+    at = [F.get("hs", F.col("pos") + k) for k in range(window)]
+    words = sum((F.when(x.isin(*holes), 0).otherwise(1) for x in at), F.lit(0))
+    return cut.filter(words >= literals).select(key, "pos", F.xxhash64(*at).alias("h"), "text")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, limit: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -52,18 +63,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     Items and documents of fewer than ``window`` words have no template and match nothing; null texts
     are empty. Null ids never match. Rows of one doc_id count as one document. Other columns are not read.
     """
-    items = write_table(windows(benchmark.filter("item_id is not null").select("item_id", "text"), "item_id", window, literals).select("item_id", F.col("pos").alias("at"), "h", F.slice("c", F.col("pos") + 1, window).alias("ic"), F.slice("w", F.col("pos") + 1, window).alias("iw")), "items")
+    part = lambda a, at: F.slice(a, F.col(at) + 1, window)
+    items = windows(benchmark.filter("item_id is not null").select("item_id", "text"), "item_id", window, literals)
+    items = items.select("item_id", F.col("pos").alias("at"), "h", part(template(F.col("text")), "pos").alias("ic"), part(tokens(F.col("text")), "pos").alias("iw"))
+    items = write_table(items, "items")
     rows = windows(docs.filter("doc_id is not null").select("doc_id", "text"), "doc_id", window, literals)
     if items.count() <= limit:
         hits = rows.join(F.broadcast(items), "h")
     else:
         found = write_table(rows.select("doc_id", "pos", "h").join(items, "h"), "found")
-        hits = found.join(docs.select("doc_id", template(F.col("text")).alias("c"), tokens(F.col("text")).alias("w")), "doc_id")
-    part = lambda a: F.slice(a, F.col("pos") + 1, window)
-    hits = hits.filter(part("c") == F.col("ic"))
+        hits = found.join(docs.select("doc_id", "text"), "doc_id")
+    hits = write_table(hits.select("doc_id", "pos", "item_id", "at", "ic", "iw", part(template(F.col("text")), "pos").alias("c"), part(tokens(F.col("text")), "pos").alias("w")), "hits")
+    hits = hits.filter("c = ic")
     word = lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{M}\p{N}]+", ""))
-    pairs = F.zip_with("iw", part("w"), lambda a, b: F.struct(word(a).alias("a"), word(b).alias("b")))
-    slots = F.filter(F.zip_with("ic", pairs, lambda c, p: F.when(c.isin("@", "0", "u", "0u"), p)), lambda p: p.isNotNull())
+    pairs = F.zip_with("iw", "w", lambda a, b: F.struct(word(a).alias("a"), word(b).alias("b")))
+    slots = F.filter(F.zip_with("ic", pairs, lambda c, p: F.when(c.isin(*HOLES[1:]), p)), lambda p: p.isNotNull())
     hits = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("line"), "pos", F.explode_outer(slots).alias("slot"))
     line = hits.groupBy("doc_id", "item_id", "line").agg(F.count_distinct("pos").alias("n"), F.count_distinct("slot").alias("both"), F.count_distinct("slot.a").alias("left"), F.count_distinct("slot.b").alias("right"))
     kept = line.filter("both = left and both = right")
@@ -78,7 +92,7 @@ def _template_sql(text: str) -> str:
     t = f"trim(regexp_replace(coalesce({text}, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
     t = f"regexp_replace({t}, '([^.!?\\x20] )\\p{{Lu}}\\p{{Ll}}+', '\\1@', 'g')"
     t = f"regexp_replace(lower({t}), '[0-9]+([.,:][0-9]+)*', '0', 'g')"
-    t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{M}}0@/\\x20]+', '', 'g')"
+    t = f"regexp_replace({t}, '[!-.:-?\\[-`{{-~\\xA1\\xAB\\xB7\\xBB\\xBF]+', '', 'g')"
     t = f"regexp_replace({t}, '( |^)0 ({UNITS})( |$)', '\\10 u\\3', 'g')"
     return f"string_split(regexp_replace({t}, '( |^)0({UNITS})( |$)', '\\10u\\3', 'g'), ' ')"
 
