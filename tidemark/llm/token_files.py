@@ -12,6 +12,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, write_table
+from tidemark.llm.common import shared_dir, small_batches, write_table
 
 HEAD = struct.Struct("<8sIIQII")
 MAGIC = b"TMGRAM01"
@@ -27,14 +28,21 @@ END = 0
 #: Ids in a file, more or less: a file holds whole documents.
 FILE_TOKENS = 2_000_000
 ROUNDS, PAIRS_PER_ROUND, MIN_COUNT = 3, 4096, 32
-#: Encoded words a worker remembers.
-WORDS = 600_000
+#: Encoded words a task remembers.
+WORDS = 400_000
 
 #: The white space of the tokenizer's pattern, and characters on which libraries differ.
-_WS = r"\t-\r    -     　"
+_WS = "\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The tokenizer's own pattern never matches over these cuts, so the parts can be encoded one by one.
 PIECE = re.compile(rf"[{_WS}]?[^{_WS}]+|[{_WS}]+\Z|[{_WS}]+(?=[{_WS}])")
-ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]|<\\|")
+#: Characters whose classes are beyond doubt, and the tokenizer's pattern for them.
+_L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+SAFE = re.compile(rf" ?[!-~{_L}]+")
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+")
+#: The printable characters by which the byte-level alphabet shows bytes; the others follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: b if b in _SHOWN else 256 + [x for x in range(256) if x not in _SHOWN].index(b) for b in range(256)}
+ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]|<\\|")
 
 
 class Encoder:
@@ -42,44 +50,47 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        if not isinstance(self.tokenizer.pre_tokenizer, ByteLevel) or self.tokenizer.normalizer is not None:
+            raise ValueError("not a plain byte-level tokenizer")
         self.tokenizer.encode_special_tokens = True
-        self.feed = self.tokenizer.token_to_id("Ċ")
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.flat = self.size = np.zeros(0, np.int64)
 
+    def _word(self, piece: str) -> list[int]:
+        """Ids of a piece of plain characters: what the tokenizer does, without the cost of its full encodings."""
+        out: list[int] = []
+        for part in PARTS.findall(piece):
+            out += [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(BYTES))]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         pieces = [[t] if ODD.search(t) else PIECE.findall(t) for t in texts]
-        if len(self.at) > WORDS:
-            self.clear()
+        full, before = len(self.at) > WORDS, len(self.flat)
         new = list({p for ps in pieces for p in ps}.difference(self.at))
         if new:
-            # words are encoded as lines of one text: a line feed always is an id of its own
-            lines = [p for p in new if "\n" not in p and p.strip()]
-            rest = [p for p in new if "\n" in p or not p.strip()]
-            joined = ["\n".join(lines[i : i + 1000]) for i in range(0, len(lines), 1000)]
-            got = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-            sizes, flat = [], []
-            for ids in got:
-                ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
-                sizes.append(np.diff(ends, prepend=-1) - 1)
-                flat.append(ids[ids != self.feed])
-            for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False):
-                sizes.append(np.array([len(e.ids)]))
-                flat.append(np.array(e.ids, np.int64))
-            self.at.update(zip(lines + rest, range(len(self.at), len(self.at) + len(new))))
+            safe = [p for p in new if SAFE.fullmatch(p)]
+            rest = [p for p in new if not SAFE.fullmatch(p)]
+            ids = [self._word(p) for p in safe]
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            self.at.update(zip(safe + rest, range(len(self.at), len(self.at) + len(new))))
+            sizes, flat = [np.fromiter(map(len, ids), np.int64, len(ids))], [np.fromiter(chain.from_iterable(ids), np.int64)]
             self.size = np.concatenate([self.size, *sizes])
             self.flat = np.concatenate([self.flat, *flat])
             self.start = np.cumsum(self.size) - self.size
-        at = self.at
-        out = []
+        at, out = self.at, []
         for ps in pieces:
             k = np.fromiter(map(at.__getitem__, ps), np.int64, len(ps))
             out.append(ragged(self.flat, self.start[k], self.size[k]) if len(ps) else np.zeros(0, np.int64))
+        if full and new:  # what came first is most frequent and stays
+            for p in new:
+                del at[p]
+            self.flat, self.size, self.start = self.flat[:before].copy(), self.size[: len(at)].copy(), self.start[: len(at)].copy()
         return out
 
 
@@ -108,9 +119,12 @@ def re_pair(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int = RO
         if not len(pairs):
             break
         pairs = np.sort(pairs[np.lexsort((pairs, -n))[:per_round]])
-        k = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        at = np.flatnonzero((pairs[k] == key) & ~last[:-1])
-        k = k[at]
+        left, right = np.zeros(vocabulary + len(rules), bool), np.zeros(vocabulary + len(rules), bool)
+        left[pairs >> kind(bits)], right[pairs & kind((1 << bits) - 1)] = True, True
+        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & ~last[:-1])
+        k = np.minimum(np.searchsorted(pairs, key[at]), len(pairs) - 1)
+        found = pairs[k] == key[at]
+        at, k = at[found], k[found]
         # of pairs that overlap in a run, every other one is taken
         first = np.r_[True, np.diff(at) != 1]
         run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
@@ -120,9 +134,9 @@ def re_pair(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int = RO
         seq[at] = vocabulary + len(rules) + np.searchsorted(used, k)
         rules = np.concatenate([rules, np.stack([pairs[used] >> kind(bits), pairs[used] & kind((1 << bits) - 1)], 1).astype(np.int64)])
         last[at] = last[at + 1]
-        left = np.ones(len(seq), bool)
-        left[at + 1] = False
-        seq, last = seq[left], last[left]
+        stays = np.ones(len(seq), bool)
+        stays[at + 1] = False
+        seq, last = seq[stays], last[stays]
     return seq, last, rules
 
 
@@ -193,9 +207,6 @@ class TokenFile:
         return out[skip : skip + end - begin]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def write_files(docs: DataFrame, tokenizer: str, folder: str, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes token files into ``folder`` (a URI that all executors reach): doc_id ascending over the files by name.
 
@@ -208,8 +219,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, file_tokens: int =
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        encoder = _encoders.setdefault(tokenizer, None) or Encoder(tokenizer)
-        _encoders[tokenizer] = encoder
+        encoder = Encoder(tokenizer)  # of this task only: kept longer, its words would fill memory that later stages need
         vocabulary = encoder.tokenizer.get_vocab_size()
         store, where = fs.FileSystem.from_uri(folder)
         store.create_dir(where, recursive=True)
@@ -236,13 +246,12 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, file_tokens: int =
 
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for lo in range(0, len(texts), 256):
-                for doc, x in zip(pdf["doc_id"].tolist()[lo : lo + 256], encoder.encode(texts[lo : lo + 256])):
-                    if ids and n + len(x) + 1 > file_tokens:
-                        yield flush()
-                    ids.append(doc)
-                    tokens.append(np.append(x, END))
-                    n += len(x) + 1
+            for doc, x in zip(pdf["doc_id"].tolist(), encoder.encode(texts)):
+                if ids and n + len(x) + 1 > file_tokens:
+                    yield flush()
+                ids.append(doc)
+                tokens.append(np.append(x, END).astype(np.uint32))
+                n += len(x) + 1
         if ids:
             yield flush()
 
@@ -268,6 +277,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_files(docs: DataFrame, tokenizer: str, name: str = "tokens") -> tuple[DataFrame, DataFrame]:
     """Writes the files; returns the table of files, each with its first id's place in the whole, and what they hold."""
+    small_batches(docs.sparkSession)
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, name)
     files = write_table(write_files(docs, tokenizer, folder), f"{name}-list")
     # one row for each file of millions of ids
