@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_rotation, decontaminate, exact_dedup, language_id, mixing, ngram_jaccard, private_data, substring_dedup, suffix_dedup, token_files
+from tidemark.llm import chat_rotation, decontaminate, exact_dedup, language_id, mixing, ngram_jaccard, packed, private_data, substring_dedup, suffix_dedup, token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, at int"
 
@@ -154,6 +154,26 @@ def test_small_sets_by_subsets_alone(spark):
     assert label == {i: c for i, (_, c) in components_by_hand(dict(enumerate(texts))).items()}
 
 
+def test_rows_of_a_frequent_key_stay_apart(spark, monkeypatch):
+    """Pieces of one key's rows, from several tasks and chunks, are never unpacked together."""
+    df = spark.range(4000, numPartitions=4).select(F.col("id").alias("doc_id"))
+    kind, sent = type(df), []
+    group = kind.groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda self, *names: (sent.append(self) if names == ("bucket",) else None) or group(self, *names))
+    monkeypatch.setattr(packed, "CHUNK", 400)
+
+    def rows_of(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 400):
+                ids = pdf["doc_id"].to_numpy(np.int64)[lo : lo + 400]
+                yield np.where(ids % 10 == 0, ids, 7).astype(np.uint64), [ids]
+
+    out = packed.shared_keys(df, rows_of, ["doc"], 64, "apart")
+    assert sorted((r.key, r.n, r.doc) for r in out.collect()) == [(7, 3600, i) for i in range(4000) if i % 10]
+    pieces = [r["count"] for r in sent[0].filter("bucket < 0").groupBy("bucket").count().collect()]
+    assert len(pieces) >= 8 and max(pieces) == 1
+
+
 # 3: mixing
 
 

@@ -29,6 +29,18 @@ def test_distinct_flag(spark):
         assert [r.x for r in R.distinct_flag(df, keys, ["i"], "x").orderBy("i").collect()] == want
 
 
+def test_distinct_flag_of_a_whole_table_is_made_in_blocks(spark):
+    r = np.random.default_rng(2)
+    i, a = r.permutation(3000).tolist(), r.integers(0, 3, 3000).tolist()
+    by = [x for _, x in sorted(zip(i, a))]
+    df = from_columns(spark, {"i": i, "a": a}).withColumn("a", F.when(F.col("a") > 0, F.col("a")))  # also null keys
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    out = R.distinct_flag(df, ["a"], ["i"], "x").withColumn("task", F.spark_partition_id()).orderBy("i").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.x for r in out] == [1] + [int(x != y) for x, y in zip(by, by[1:])]
+    assert len({r.task for r in out}) > 1
+
+
 def test_group_aggregates(halves):
     out = A.aggregate(halves, ["k"], [("v", "s", "sum"), ("v", "n", "count"), ("v", "lo", "min"), ("v", "hi", "max")])
     assert got(out) == [(0, 26, 4, 5, 8), (1, 10, 4, 1, 4)]

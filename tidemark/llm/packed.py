@@ -1,9 +1,11 @@
 """Rows of a 64-bit key and whole numbers, shuffled in packed form to find keys that occur more than once."""
 
 from collections.abc import Callable, Iterator
+from itertools import count as count_from
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,13 +55,15 @@ def shared_keys(docs: DataFrame, rows_of: Callable[[Iterator[pd.DataFrame]], Ite
     ``rows_of`` makes (keys, columns) from batches of ``docs``. Keys go to ``buckets`` ranges, each of
     which is counted in one task. A key with more than HEAVY rows in a task's chunk only sends its
     count there; those rows are known to be shared, take no part in the shuffle to a bucket and get
-    their n by a join. So no task holds all rows of a frequent key.
+    their n by a join. They are unpacked in pieces, each a group of its own, so no task holds all rows of
+    a frequent key.
     """
     width, shift = len(names), np.uint64(64 - max(1, (buckets - 1).bit_length()))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, list[np.ndarray]]] = []
         n = 0
+        pieces = count_from(TaskContext.get().partitionId() << 32)  # no two pieces of the table have one number
 
         def flush() -> Iterator[pd.DataFrame]:
             keys = np.concatenate([k for k, _ in held])
@@ -76,7 +80,7 @@ def shared_keys(docs: DataFrame, rows_of: Callable[[Iterator[pd.DataFrame]], Ite
             at = np.flatnonzero(heavy)
             for lo in range(0, len(at), 100_000):
                 i = at[lo : lo + 100_000]
-                out.append((-1 - int(np.random.default_rng(int(keys[i[0]])).integers(1 << 62)), _pack(keys[i], [c[i] for c in cols], keys[:0], marked[:0], firsts[:0])))
+                out.append((-1 - next(pieces), _pack(keys[i], [c[i] for c in cols], keys[:0], marked[:0], firsts[:0])))
             keys, cols = keys[~heavy], [c[~heavy] for c in cols]
             upto = np.arange(1 << int(64 - int(shift)), dtype=np.uint64)
             ends, mends = np.searchsorted(keys >> shift, upto, "right"), np.searchsorted(marks >> shift, upto, "right")

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates, joins
 
+#: Blocks of a table's order, at most, that are looked at one by one.
+BLOCKS = 256
+
 
 def concatenate(a: DataFrame, b: DataFrame, table_id: str | None = None) -> DataFrame:
     """All rows of both; numbers that one side lacks are 0. ``table_id`` names a column with 0 or 1 for the side."""
@@ -24,10 +27,22 @@ def distinct(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def distinct_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, within: Sequence[str] = ()) -> DataFrame:
-    """1 where a row's keys differ from those of the row before it in ``order`` (of its ``within`` group), else 0."""
-    w = Window.partitionBy(*within).orderBy(*order) if within else Window.orderBy(*order)
-    before = F.lag(F.struct(*keys)).over(w)
-    return df.withColumn(out, F.when(before.eqNullSafe(F.struct(*keys)), 0).otherwise(1).cast("long"))
+    """1 where a row's keys differ from those of the row before it in ``order`` (of its ``within`` group), else 0.
+
+    Without ``within`` rows are put in blocks of the order, cut at up to ``BLOCKS`` of its own values drawn by hash;
+    only the blocks' last rows go through one task.
+    """
+    own, place = F.struct(*keys), F.struct(*order)
+    if within:
+        before = F.lag(own).over(Window.partitionBy(*within).orderBy(*order))
+        return df.withColumn(out, F.when(before.eqNullSafe(own), 0).otherwise(1).cast("long"))
+    cuts = df.select(place.alias("_cut")).distinct().orderBy(F.xxhash64("_cut")).limit(BLOCKS).agg(F.collect_list("_cut").alias("_cuts"))
+    rows = df.crossJoin(F.broadcast(cuts)).withColumn("_block", F.size(F.filter("_cuts", lambda c: c <= place))).drop("_cuts")
+    ends = rows.groupBy("_block").agg(F.max_by(own, place).alias("_end"))
+    ends = ends.select("_block", F.lag("_end").over(Window.orderBy("_block")).alias("_end"))
+    before = F.coalesce(F.lag(own).over(Window.partitionBy("_block").orderBy(*order)), "_end")
+    flag = F.when(before.eqNullSafe(own), 0).otherwise(1).cast("long")
+    return rows.join(F.broadcast(ends), "_block").withColumn(out, flag).select(*[c for c in df.columns if c != out], out)
 
 
 def sort(df: DataFrame, keys: Sequence[tuple[str, bool]]) -> DataFrame:
