@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -326,6 +327,21 @@ def test_exact_dedup_goes_on_and_takes_an_empty_table(spark, tmp_path):
     assert exact_dedup.exact_dedup(spark, path).count() == 0
 
 
+def test_exact_dedup_keeps_its_groups_for_later_runs(spark, tmp_path):
+    """After added files and after none; the added file is dated long before the others."""
+    path, state = f"file://{tmp_path}/docs.parquet", f"file://{tmp_path}/state"
+    texts = ["a b", "a  b", "c", "d", "d", None, "e"]
+    run = lambda: sorted(map(tuple, exact_dedup.exact_dedup(spark, path, state=state).collect()))
+    docs(spark, texts).coalesce(1).write.parquet(path)
+    assert run() == dedup_by_hand(dict(enumerate(texts)))
+    old, more = set(tmp_path.glob("docs.parquet/*.parquet")), ["c", "d", "f", ""]
+    docs(spark, more, range(7, 11)).coalesce(1).write.mode("append").parquet(path)
+    for added in set(tmp_path.glob("docs.parquet/*.parquet")) - old:
+        os.utime(added, (10**9, 10**9))
+    for _ in range(2):
+        assert run() == dedup_by_hand(dict(enumerate(texts + more)))
+
+
 # 10: languages
 
 

@@ -24,7 +24,8 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     A stream over the table's files keeps, for each digest of the normalised text, the smallest
     stable identifier, where its content lies (file and row) and the number of rows. The state is in
     RocksDB on the executors' disks and in the checkpoint folder ``state``; it never expires, so a
-    later run with the same folder goes on where this one ended. Rows whose digest is held more than
+    later run with the same folder goes on where this one ended: files may have been added to the table,
+    none changed or removed. The groups of every batch are kept in the same folder. Rows whose digest is held more than
     once are hits: their full text is compared with the text at the kept row, and texts that differ
     under one digest are grouped anew by their full text.
 
@@ -34,7 +35,8 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     """
     schema = spark.read.parquet(path).select("doc_id", "text").schema
     text = F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " ")
-    state, deltas = state or shared_dir(spark, "dedup-state"), shared_dir(spark, "dedup-groups")
+    state = state or shared_dir(spark, "dedup-state")
+    deltas = f"{state.rstrip('/')}/groups"
 
     own = spark.newSession()  # the state store is set for this stream alone
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -45,13 +47,13 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.struct("doc_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     files = re.sub(r"(\w)/?$", r"[\1]", path)  # as a pattern, the path may also be one file
-    held = own.readStream.schema(schema).parquet(files).select(digest(text).alias("digest"), place.alias("place")).groupBy("digest").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+    held = own.readStream.schema(schema).option("maxFileAge", "36500d").parquet(files).select(digest(text).alias("digest"), place.alias("place")).groupBy("digest").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
     query = held.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", state).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{deltas}/batch={n}")).start()
     query.awaitTermination()
 
     docs = spark.read.schema(schema).parquet(path)
     groups = spark.createDataFrame([], "digest binary, keep struct<doc_id: long, file: string, row: long>, n long")
-    if query.lastProgress is not None and spark._jvm.org.apache.hadoop.fs.Path(deltas).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(deltas)):
+    if spark._jvm.org.apache.hadoop.fs.Path(deltas).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(deltas)):
         # a digest that a later batch met again is there more than once; the last has the largest count
         groups = spark.read.parquet(deltas).groupBy("digest").agg(F.min("place").alias("keep"), F.max("n").alias("n"))
     copies = groups.filter("n > 1")
