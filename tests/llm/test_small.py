@@ -25,6 +25,12 @@ def words(n, seed=0, vocabulary=5000):
     return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, vocabulary, n))
 
 
+def flat(texts):
+    """Texts one after another in bytes, and where each begins."""
+    raw = [(t or "").encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
 def rows(df, *names):
     return sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
 
@@ -145,7 +151,7 @@ def test_components_of_null_and_repeated_rows(spark):
 def test_small_sets_by_subsets_alone(spark):
     """The subset path gives the links of small sets without any list."""
     texts = [words(n, s) + t for n in (5, 7, 9, 11) for s in (1, 2) for t in ("", " x", " x y")]
-    sets = ngram_jaccard.shingle_sets(texts)
+    sets = [x for x, in ngram_jaccard.shingle_sets(*flat(texts))]
     df = spark.createDataFrame([(i, len(s), s.view(np.int64).tolist()) for i, s in enumerate(sets)], "doc_id long, size long, keys array<long>")
     label = {i: i for i in range(len(texts))}
     edges = [tuple(r) for r in ngram_jaccard._subset_edges(df, 12).collect()]
@@ -162,15 +168,16 @@ def test_rows_of_a_frequent_key_stay_apart(spark, monkeypatch):
     group = kind.groupBy
     monkeypatch.setattr(kind, "groupBy", lambda self, *names: (sent.append(self) if names == ("bucket",) else None) or group(self, *names))
     monkeypatch.setattr(packed, "CHUNK", 400)
+    monkeypatch.setattr(packed, "ROWS", 400)
 
     def rows_of(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), 400):
-                ids = pdf["doc_id"].to_numpy(np.int64)[lo : lo + 400]
+        for batch in batches:
+            for lo in range(0, len(batch), 400):
+                ids = batch.column("doc_id").to_numpy()[lo : lo + 400]
                 yield np.where(ids % 10 == 0, ids, 7).astype(np.uint64), [ids]
 
-    out = packed.shared_keys(df, rows_of, ["doc"], 64, "apart")
-    assert sorted((r.key, r.n, r.doc) for r in out.collect()) == [(7, 3600, i) for i in range(4000) if i % 10]
+    light, heavy = packed.by_key(df, rows_of, ["doc"], 4000, "apart", ngram_jaccard._shared, "key long, n long, doc long")
+    assert light.count() == 0 and rows(heavy, "key", "doc") == sorted(((7, i) for i in range(4000) if i % 10), key=repr)
     pieces = [r["count"] for r in sent[0].filter("bucket < 0").groupBy("bucket").count().collect()]
     assert len(pieces) >= 8 and max(pieces) == 1
 
@@ -275,10 +282,9 @@ def test_rotation(spark):
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
-    texts = ["  two  spaces\n\n and\ttabs  ", None, "", "plain words here", words(3000, 1), "don't 's  \n", "日本語 text　x", "a\x1c\x1d b\x85c", "<|endoftext|> x", "plain words here"] + [words(50, i, 300) for i in range(100)]
+    texts = ["  two  spaces\n\n and\ttabs  ", None, "", "plain words here", words(3000, 1), "don't 's  \n", "日本語 text　x", "a\x1c\x1d b\x85c", "<|endoftext|> x", "a <|endoftext|> b", "it's the '90s, isn't ('s) x'RE", "a1b2 3,4\n5\n\nNext\n word\u2019s  \u00a0 e\u0301t\u00e9\u00d7\u00e9 \u00aa", "x" * 40 + " " + "y" * 300, "\n", " ", "plain words here"] + [words(50, i, 300) for i in range(100)]
     path = token_files.tokenizer_path()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     want, start = [], 0
     for i, e in enumerate(plain.encode_batch([t or "" for t in texts], add_special_tokens=False)):
         ids = np.array([*e.ids, 0], "<u4")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +19,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Only a session in a single process may leave that unset: a folder of its own machine is made for it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
-    if not base:  # unset, as in local tests
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
@@ -30,14 +39,43 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_table = path
+    return out
+
+
+def drop_table(table: DataFrame) -> None:
+    """Deletes what ``write_table`` wrote, once nothing is left that reads it."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._work_table)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python in batches of a thousand rows: by default ten thousand long ones would be held at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 1000:
-        spark.conf.set(key, "1000")
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name = f"_{name}"
+    return name
+
+
+def text_chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
+    """Rows of an Arrow batch in chunks of some ``most`` bytes of text, at least one row each: (rows, their bytes, first byte of each and the end).
+
+    Nothing is copied or decoded. Null counts as empty. Spark itself bounds a batch's bytes (``spark.sql.execution.arrow.maxBytesPerBatch``).
+    """
+    texts = batch.column(column)
+    if not len(texts):
+        return
+    texts = texts.fill_null("") if texts.null_count else texts
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    first = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + most, "right")) - 1)
+        yield range(lo, hi), flat[first[lo] : first[hi]], first[lo : hi + 1] - first[lo]
+        lo = hi
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -81,13 +119,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     tree = write_table(pairs.mapInPandas(forest, "u long, v long").filter("u <> v").distinct(), "forest")
     both = tree.select("u", "v").union(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels = write_table(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")), "labels")
+    held = write_table(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")), "labels")
     while True:
+        labels = held.select("u", "c")
         near = both.join(labels.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").groupBy("u").agg(F.min("d").alias("d"))
         step = labels.join(near, "u").select("u", "c", F.least("c", "d").alias("n"))
         jump = labels.select(F.col("u").alias("n"), F.col("c").alias("e"))
         step = write_table(step.join(jump, "n").select("u", F.least("n", "e").alias("c"), (F.least("n", "e") < F.col("c")).alias("moved")), "labels")
-        moved = not step.filter("moved").isEmpty()
-        labels = step.select("u", "c")
-        if not moved:
-            return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
+        drop_table(held)
+        held = step
+        if step.filter("moved").isEmpty():
+            drop_table(tree)
+            return step.select(F.col("u").alias("node"), F.col("c").alias("component"))

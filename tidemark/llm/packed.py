@@ -1,18 +1,20 @@
-"""Rows of a 64-bit key and whole numbers, shuffled in packed form to find keys that occur more than once."""
+"""Rows of a 64-bit key and whole numbers, shuffled in packed form so that all rows of a key meet."""
 
 from collections.abc import Callable, Iterator
 from itertools import count as count_from
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.llm.common import write_table
 
-#: Rows a task gathers before it sends them, and rows of one key among them from which the key counts as heavy.
-CHUNK, HEAVY = 1_000_000, 256
+#: Rows a task gathers before it sends them, and rows of a range of keys.
+CHUNK, ROWS = 1_000_000, 500_000
+
+Rows = tuple[np.ndarray, list[np.ndarray]]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -23,18 +25,15 @@ def _unplanes(data: memoryview, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
-def _pack(keys: np.ndarray, cols: list[np.ndarray], marks: np.ndarray, counts: np.ndarray, firsts: np.ndarray) -> bytes:
-    """Sorted keys as differences, each column as byte planes: most planes are nearly constant.
-
-    ``marks`` are keys without rows, with their number of rows and (a row of ``firsts``) the first of them.
-    """
+def _pack(keys: np.ndarray, cols: list[np.ndarray], marks: np.ndarray) -> bytes:
+    """Sorted keys as differences, each column as byte planes: most planes are nearly constant. ``marks`` are keys without rows."""
     import zstandard
 
-    parts = [_planes(np.diff(keys, prepend=np.uint64(0))), *(_planes(c) for c in cols), marks.tobytes(), counts.tobytes(), firsts.tobytes()]
+    parts = [_planes(np.diff(keys, prepend=np.uint64(0))), *(_planes(c) for c in cols), marks.tobytes()]
     return np.array([len(keys), len(marks)], "<u4").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _unpack(data: bytes, width: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(data: bytes, width: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     import zstandard
 
     n, m = np.frombuffer(data[:8], "<u4").tolist()
@@ -42,54 +41,53 @@ def _unpack(data: bytes, width: int) -> tuple[np.ndarray, list[np.ndarray], np.n
     at = lambda i: raw[8 * n * i : 8 * n * (i + 1)]
     keys = np.cumsum(_unplanes(at(0), np.uint64), dtype=np.uint64) if n else np.zeros(0, np.uint64)
     cols = [_unplanes(at(i + 1), np.int64) if n else np.zeros(0, np.int64) for i in range(width)]
-    rest = 8 * n * (width + 1)
-    part = lambda i, k: raw[rest + 8 * m * i : rest + 8 * m * k]
-    return keys, cols, np.frombuffer(part(0, 1), np.uint64), np.frombuffer(part(1, 2), np.int64), np.frombuffer(part(2, 2 + width), np.int64).reshape(m, width)
-
+    return keys, cols, np.frombuffer(raw[8 * n * (width + 1) :], np.uint64, m)
 
-def shared_keys(docs: DataFrame, rows_of: Callable[[Iterator[pd.DataFrame]], Iterator[tuple[np.ndarray, list[np.ndarray]]]], names: list[str], buckets: int, name: str, later: bool = False) -> DataFrame:
-    """key, n and the columns ``names`` of every row whose key occurs at least twice; n is the number of its rows.
 
-    With ``later`` only the columns ``names``, without the first row of each key (by those columns in turn).
+def by_key(docs: DataFrame, rows_of: Callable[[Iterator[pa.RecordBatch]], Iterator[Rows]], names: list[str], total: int, name: str, reduce: Callable[..., dict[str, np.ndarray]], out: str) -> tuple[DataFrame, DataFrame]:
+    """What ``reduce`` makes of all rows of a key, and the rows (key and ``names``) of frequent keys as they are.
 
-    ``rows_of`` makes (keys, columns) from batches of ``docs``. Keys go to ``buckets`` ranges, each of
-    which is counted in one task. A key with more than HEAVY rows in a task's chunk only sends its
-    count there; those rows are known to be shared, take no part in the shuffle to a bucket and get
-    their n by a join. They are unpacked in pieces, each a group of its own, so no task holds all rows of
-    a frequent key.
+    ``rows_of`` makes (keys, columns), some ``total`` rows, from Arrow batches of ``docs``. Keys go to ranges of some ROWS
+    rows, each of which is reduced in one task: ``reduce(keys, *columns)`` returns the columns ``out`` (names and types), all long.
+    A key whose share of a task's chunk is more than a quarter of what a range holds of all rows is frequent: its rows
+    there take no part in that; a mark makes the rows of other chunks stay out as well. So all chunks together
+    bring a quarter of a range's usual rows of one key at most (or a row each, where that is more). Rows of frequent
+    keys are unpacked in pieces, each a group of its own, and left to Spark's own aggregates and joins, which combine rows before
+    a shuffle and split skewed partitions.
     """
-    width, shift = len(names), np.uint64(64 - max(1, (buckets - 1).bit_length()))
+    width, shift = len(names), np.uint64(64 - max(6, max(1, total // ROWS).bit_length()))
+    share = ROWS / 4 / max(total, 1)
+    made = [c.split()[0] for c in out.split(", ")]
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Rows] = []
         n = 0
         pieces = count_from(TaskContext.get().partitionId() << 32)  # no two pieces of the table have one number
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> Iterator[pa.RecordBatch]:
             keys = np.concatenate([k for k, _ in held])
             cols = [np.concatenate([c[i] for _, c in held]) for i in range(width)]
             held.clear()
-            order = np.lexsort([*cols[::-1], keys]) if later else np.argsort(keys, kind="stable")
+            order = np.argsort(keys, kind="stable")
             keys, cols = keys[order], [c[order] for c in cols]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
             counts = np.diff(np.append(first, len(keys)))
-            heavy = np.repeat(counts > HEAVY, counts)
-            at = first[counts > HEAVY]
-            marks, marked, firsts = keys[at], counts[counts > HEAVY].astype(np.int64), np.stack([c[at] for c in cols], 1)
-            out = []
+            much = counts > max(1, share * len(keys))
+            heavy, marks = np.repeat(much, counts), keys[first[much]]
+            sent = []
             at = np.flatnonzero(heavy)
             for lo in range(0, len(at), 100_000):
                 i = at[lo : lo + 100_000]
-                out.append((-1 - next(pieces), _pack(keys[i], [c[i] for c in cols], keys[:0], marked[:0], firsts[:0])))
+                sent.append((-1 - next(pieces), _pack(keys[i], [c[i] for c in cols], marks[:0])))
             keys, cols = keys[~heavy], [c[~heavy] for c in cols]
             upto = np.arange(1 << int(64 - int(shift)), dtype=np.uint64)
             ends, mends = np.searchsorted(keys >> shift, upto, "right"), np.searchsorted(marks >> shift, upto, "right")
             lo = mlo = 0
             for b, (hi, mhi) in enumerate(zip(ends.tolist(), mends.tolist())):
                 if hi > lo or mhi > mlo:
-                    out.append((b, _pack(keys[lo:hi], [c[lo:hi] for c in cols], marks[mlo:mhi], marked[mlo:mhi], firsts[mlo:mhi])))
+                    sent.append((b, _pack(keys[lo:hi], [c[lo:hi] for c in cols], marks[mlo:mhi])))
                 lo, mlo = hi, mhi
-            yield pd.DataFrame(out, columns=["bucket", "data"])
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([x for x, _ in sent], pa.int64()), "data": pa.array([x for _, x in sent], pa.binary())})
 
         for keys, cols in rows_of(batches):
             held.append((keys, cols))
@@ -100,47 +98,18 @@ def shared_keys(docs: DataFrame, rows_of: Callable[[Iterator[pd.DataFrame]], Ite
         if n:
             yield from flush()
 
-    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = [_unpack(x, width) for x in pdf["data"]]
         keys, cols = np.concatenate([g[0] for g in got]), [np.concatenate([g[1][i] for g in got]) for i in range(width)]
-        marks, marked, firsts = (np.concatenate([g[i] for g in got]) for i in (2, 3, 4))
+        marks = np.unique(np.concatenate([g[2] for g in got]))
         del got
-        if key[0] < 0:
-            return frame(keys, np.full(len(keys), -1), np.full(len(keys), 2), cols)
-        every, at = np.unique(np.concatenate([keys, marks]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([np.ones(len(keys), np.int64), marked]), len(every)).astype(np.int64)
-        told = np.unique(at[len(keys) :])
-        n = total[at[: len(keys)]]
-        keep = n > 1
-        if later:
-            both = [np.concatenate([c, firsts[:, i]]) for i, c in enumerate(cols)]
-            order = np.lexsort([*both[::-1], at])
-            head = order[np.r_[True, np.diff(at[order]) != 0]] if len(order) else order  # the first row of each key
-            keep &= np.any([c != b[head][at[: len(keys)]] for c, b in zip(cols, both)], axis=0)
-            least = np.stack([b[head][told] for b in both], 1)
-        else:
-            least = np.zeros((len(told), width), np.int64)
-        light = frame(keys[keep], n[keep], np.zeros(keep.sum(), int), [c[keep] for c in cols])
-        return pd.concat([light, frame(every[told], total[told], np.ones(len(told), int), list(least.T))])
-
-    def frame(keys: np.ndarray, n: np.ndarray, kind: np.ndarray, cols: list[np.ndarray]) -> pd.DataFrame:
-        if later:
-            keys = np.where(kind == 0, 0, keys.view(np.int64))  # light rows need no key any more
-        return pd.DataFrame({"key": keys.view(np.int64), "n": n, "kind": kind} | dict(zip(names, cols)))
-
-    schema = ", ".join(["key long, n long, kind int", *(f"{c} long" for c in names)])
-    sent = docs.mapInPandas(send, "bucket long, data binary")
-    out = write_table(sent.groupBy("bucket").applyInPandas(count, schema), name)
-    light = out.filter("kind = 0")
-    if later:
-        known = out.filter("kind = 1").select("key", F.struct(*names).alias("first"))
-        heavy = out.filter("kind = 2").join(known, "key").filter(F.struct(*names) != F.col("first"))
-        return light.select(*names).union(heavy.select(*names))
-    known = out.filter("kind = 1").select("key", "n")
-    heavy = out.filter("kind = 2").select("key", *names).join(known, "key").select("key", "n", *names)
-    return light.select("key", "n", *names).unionByName(heavy)
-
-
-def buckets_for(rows: int) -> int:
-    """Ranges of some half a million rows each."""
-    return max(64, -(-rows // 500_000))
+        raw = np.ones(len(keys), bool) if key[0] < 0 else np.isin(keys, marks) if len(marks) else np.zeros(len(keys), bool)
+        kept = reduce(keys[~raw], *[c[~raw] for c in cols])
+        n, m = len(kept[made[0]]), int(raw.sum())
+        frame = {"raw": np.repeat([False, True], [n, m]), "key": np.concatenate([np.zeros(n, np.int64), keys[raw].view(np.int64)])}
+        frame |= {f"c_{c}": np.concatenate([np.zeros(n, np.int64), x[raw]]) for c, x in zip(names, cols)}
+        return pd.DataFrame(frame | {f"o_{c}": np.concatenate([kept[c], np.zeros(m, np.int64)]) for c in made})
+
+    schema = ", ".join(["raw boolean, key long", *(f"c_{c} long" for c in names), *(f"o_{c} long" for c in made)])
+    rows = write_table(docs.mapInArrow(send, "bucket long, data binary").groupBy("bucket").applyInPandas(meet, schema), name)
+    return rows.filter("not raw").selectExpr(*(f"o_{c} as {c}" for c in made)), rows.filter("raw").selectExpr("key", *(f"c_{c} as {c}" for c in names))
