@@ -15,84 +15,192 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, small_batches, write_table
+from tidemark.llm.common import shared_dir, text_chunks, write_table
 
 HEAD = struct.Struct("<8sIIQII")
 MAGIC = b"TMGRAM01"
 END = 0
 #: Ids in a file, more or less: a file holds whole documents.
 FILE_TOKENS = 2_000_000
-ROUNDS, PAIRS_PER_ROUND, MIN_COUNT = 3, 4096, 32
-#: Encoded words a task remembers.
-WORDS = 400_000
-
-#: The white space of the tokenizer's pattern, and characters on which libraries differ.
-_WS = "\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The tokenizer's own pattern never matches over these cuts, so the parts can be encoded one by one.
-PIECE = re.compile(rf"[{_WS}]?[^{_WS}]+|[{_WS}]+\Z|[{_WS}]+(?=[{_WS}])")
-#: Characters whose classes are beyond doubt, and the tokenizer's pattern for them.
-_L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-SAFE = re.compile(rf" ?[!-~{_L}]+")
-PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+")
-#: The printable characters by which the byte-level alphabet shows bytes; the others follow from 256 on.
-_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTES = {b: b if b in _SHOWN else 256 + [x for x in range(256) if x not in _SHOWN].index(b) for b in range(256)}
-ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]|<\\|")
+#: Occurrences from which a pair counts as frequent; a rule takes the place of six symbols itself.
+MIN_COUNT = 32
+#: Stretches of text whose ids a worker remembers (some 40 MB), and bytes that a stretch can have for that.
+WORDS, LANES = 1 << 20, 3
+
+_U = np.uint64
+_DIGIT, _LETTER, _GRAPHIC, _BLANK = (np.zeros(256, bool) for _ in range(4))
+_DIGIT[48:58] = _LETTER[65:91] = _LETTER[97:123] = _GRAPHIC[33:127] = True
+_BLANK[[10, 32]] = True
+#: Letters of Latin-1, as bytes: a lead byte C3 and one more.
+_LATIN = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+_SECOND = np.zeros(256, bool)
+_SECOND[[ord(c) - 0x40 for c in _LATIN]] = True
+PLAIN = re.compile(f" ?[A-Za-z{''.join(_LATIN)}]+").fullmatch
+
+
+def cuts(b: np.ndarray) -> np.ndarray:
+    """Places at which the tokenizer's own pattern always begins a new part, so that the stretches between can be encoded one by one.
+
+    These are the starts of white space after a letter, digit or mark, of a digit or mark after a letter, of
+    anything else after a digit, of a letter or digit after a mark (an apostrophe may begin a contraction,
+    and is none here), and what follows a lone line break. Only ASCII and the letters of Latin-1 are told apart: elsewhere there is no cut.
+    """
+    cont = np.r_[False, (b[:-1] == 0xC3) & _SECOND[b[1:]]] if len(b) else np.zeros(0, bool)
+    letter, digit, graphic = _LETTER[b], _DIGIT[b], _GRAPHIC[b]
+    lead = np.r_[cont[1:], False] if len(b) else cont
+    mark = graphic & ~letter & ~digit
+    first, last = letter | lead, letter | cont  # of a letter's bytes
+    begins, ends = graphic | lead, graphic | cont
+    out = np.zeros(len(b), bool)
+    out[1:] = ends[:-1] & _BLANK[b[1:]]
+    out[1:] |= last[:-1] & (mark | digit)[1:]
+    out[1:] |= digit[:-1] & (mark | first)[1:]
+    out[1:] |= (mark & (b != 0x27))[:-1] & (first | digit)[1:]
+    out[2:] |= ends[:-2] & (b[1:-1] == 10) & begins[2:]
+    return out
+
+
+MIXER = _U(0x9E3779B97F4A7C15)
+#: The lowest n bytes of a whole number.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 class Encoder:
-    """Encodes texts with a byte-level tokenizer file; words met before are not encoded again."""
+    """Ids of texts from a byte-level tokenizer file. A stretch between cuts is encoded once, and remembered while there is room.
+
+    Stretches of up to 23 bytes are their own key (their bytes and length), so different ones never meet.
+    Those of letters alone go to the tokenizer's model, others through the whole tokenizer, and so do texts with its special tokens.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        if not isinstance(self.tokenizer.pre_tokenizer, ByteLevel) or self.tokenizer.normalizer is not None:
+        pre = self.tokenizer.pre_tokenizer
+        if not isinstance(pre, ByteLevel) or pre.add_prefix_space or not pre.use_regex or self.tokenizer.normalizer is not None:
             raise ValueError("not a plain byte-level tokenizer")
-        self.tokenizer.encode_special_tokens = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat = self.size = np.zeros(0, np.int64)
-
-    def _word(self, piece: str) -> list[int]:
-        """Ids of a piece of plain characters: what the tokenizer does, without the cost of its full encodings."""
-        out: list[int] = []
-        for part in PARTS.findall(piece):
-            out += [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(BYTES))]
+        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.shown = {ord(c): pre.pre_tokenize_str(c)[0][0] for c in [" ", *map(chr, range(65, 91)), *map(chr, range(97, 123)), *_LATIN]}
+        self.slots = np.full(2 * WORDS, -1, np.int32)
+        self.keys = np.zeros((LANES, 0), _U)
+        self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.long: dict[bytes, int] = {}
+
+    def _ids(self, pieces: list[bytes]) -> list[list[int]]:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        out: list[list[int]] = [[]] * len(texts)
+        plain = [i for i, x in enumerate(texts) if PLAIN(x)]
+        shown = "\n".join([texts[i] for i in plain]).translate(self.shown).split("\n")
+        tokenize = self.tokenizer.model.tokenize
+        for i, x in zip(plain, shown):
+            out[i] = [t.id for t in tokenize(x)]
+        rest = sorted(set(range(len(texts))).difference(plain))
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [[t] if ODD.search(t) else PIECE.findall(t) for t in texts]
-        full, before = len(self.at) > WORDS, len(self.flat)
-        new = list({p for ps in pieces for p in ps}.difference(self.at))
-        if new:
-            safe = [p for p in new if SAFE.fullmatch(p)]
-            rest = [p for p in new if not SAFE.fullmatch(p)]
-            ids = [self._word(p) for p in safe]
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-            self.at.update(zip(safe + rest, range(len(self.at), len(self.at) + len(new))))
-            sizes, flat = [np.fromiter(map(len, ids), np.int64, len(ids))], [np.fromiter(chain.from_iterable(ids), np.int64)]
-            self.size = np.concatenate([self.size, *sizes])
-            self.flat = np.concatenate([self.flat, *flat])
-            self.start = np.cumsum(self.size) - self.size
-        at, out = self.at, []
-        for ps in pieces:
-            k = np.fromiter(map(at.__getitem__, ps), np.int64, len(ps))
-            out.append(ragged(self.flat, self.start[k], self.size[k]) if len(ps) else np.zeros(0, np.int64))
-        if full and new:  # what came first is most frequent and stays
-            for p in new:
-                del at[p]
-            self.flat, self.size, self.start = self.flat[:before].copy(), self.size[: len(at)].copy(), self.start[: len(at)].copy()
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        h = keys[0] * MIXER
+        for k in range(1, LANES):
+            h = (h ^ (h >> _U(29)) ^ keys[k]) * MIXER
+        return (h >> _U(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key among the remembered, or -1."""
+        out, todo, slot = np.full(keys.shape[1], -1, np.int64), np.arange(keys.shape[1]), self._slot(keys)
+        while len(todo):
+            k = self.slots[slot]
+            there = np.flatnonzero(k >= 0)
+            todo, slot, k = todo[there], slot[there], k[there]
+            same = self.keys[0][k] == keys[0][todo]
+            for i in range(1, LANES):
+                same &= self.keys[i][k] == keys[i][todo]
+            out[todo[same]] = k[same]
+            todo, slot = todo[~same], (slot[~same] + 1) & (len(self.slots) - 1)
         return out
 
+    def _keep(self, keys: np.ndarray, first: int) -> None:
+        number, slot = np.arange(first, first + keys.shape[1]), self._slot(keys)
+        while len(number):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = number[free]
+            left = self.slots[slot] != number
+            number, slot = number[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def encode(self, b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in ``b`` one after another, and how many each text has; text i is b[first[i] : first[i + 1]]."""
+        n = first[-1]
+        at = cuts(b)
+        at[first[:-1][first[:-1] < n]] = True
+        begin = np.flatnonzero(at)
+        size = np.diff(np.append(begin, n))
+        most = 8 * LANES - 1
+        # every stretch's bytes as whole numbers; the last byte holds the length
+        wide = np.concatenate([b, np.zeros(8 * LANES, np.uint8)])
+        eight = np.ndarray(len(wide) - 7, "<u8", wide.data, strides=(1,))
+        short = size <= most
+        s, z = begin[short], size[short]
+        keys = np.zeros((LANES, len(s)), _U)
+        for k in range(LANES):
+            own = np.flatnonzero(z > 8 * k) if k else slice(None)
+            keys[k, own] = eight[s[own] + 8 * k] & MASKS[np.minimum(z[own] - 8 * k, 8)]
+        keys[-1] |= z.astype(_U) << _U(56)
+        known = self._find(keys)
+        lost = np.flatnonzero(known < 0)
+        order = lost[np.lexsort(keys[:, lost])]
+        new = np.r_[True, (keys[:, order[1:]] != keys[:, order[:-1]]).any(0)] if len(order) else np.zeros(0, bool)
+        fresh = order[new]
+        raw = b.tobytes()
+        pieces = [raw[i : i + j] for i, j in zip(s[fresh].tolist(), z[fresh].tolist())]
+        words = len(self.size)
+        known[order] = words + np.cumsum(new) - 1
+        number = np.empty(len(begin), np.int64)
+        number[short] = known
+        others = np.flatnonzero(~short)
+        more: dict[bytes, int] = {}
+        for i in others.tolist():
+            p = raw[begin[i] : begin[i] + size[i]]
+            number[i] = self.long[p] if p in self.long else more.setdefault(p, words + len(fresh) + len(more))
+        got = self._ids(pieces + list(more))
+        all_size = np.concatenate([self.size, np.fromiter(map(len, got), np.int64, len(got))])
+        all_flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
+        ids = ragged(all_flat, (np.cumsum(all_size) - all_size)[number], all_size[number])
+        if len(all_size) <= WORDS:
+            # a long stretch holds a number too, and a key that no text can have
+            self.keys = np.concatenate([self.keys, keys[:, fresh], np.full((LANES, len(more)), _U(0xFFFFFFFFFFFFFFFF))], 1)
+            self.size, self.flat = all_size, all_flat
+            self._keep(keys[:, fresh], words)
+            self.long |= {p: k for p, k in more.items() if len(p) < 256}
+        upto = np.r_[0, np.cumsum(all_size[number])]
+        counts = np.diff(upto[np.searchsorted(begin, first)])
+        return self._special(raw, first, ids, counts) if any(x in raw for x in self.special) else (ids, counts)
+
+    def _special(self, raw: bytes, first: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that hold a special token's string, through the whole tokenizer."""
+        texts = [raw[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i, t in enumerate(texts):
+            if any(x in t for x in self.special):
+                parts[i] = np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, whose memory is bounded."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
 
 def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The stretches flat[start : start + size], one after another."""
@@ -100,44 +208,65 @@ def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def re_pair(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int = ROUNDS, per_round: int = PAIRS_PER_ROUND, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, which of them end a document, and rules (pairs of symbols).
+def re_pair(ids: np.ndarray, last: np.ndarray, vocabulary: int, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, which of them end a document, and rules (pairs of symbols), when no pair occurs ``least`` times any more.
 
-    In each round the most frequent pairs, at most ``per_round`` with ``least`` occurrences or more, become
-    nonterminals, replaced from left to right without overlap; ended rounds leave their nonterminals
-    for the next round's pairs.
+    In each round all frequent pairs become nonterminals, replaced from left to right without overlap;
+    pairs with the new nonterminals are what the next round looks at. A pair that wasn't frequent can't become so
+    later, so only places beside a new nonterminal, and those where a frequent pair was in another's way, are counted again.
     """
-    narrow = vocabulary + rounds * per_round <= 1 << 16
-    kind, bits = (np.uint32, 16) if narrow else (np.uint64, 32)
-    seq, rules = ids.astype(kind), np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        key = seq[:-1] << kind(bits) | seq[1:]
-        pairs, n = np.unique(key[~last[:-1]], return_counts=True)
-        pairs, n = pairs[n >= least], n[n >= least]
+    seq, last, rules, top = ids.astype(np.uint32), last.copy(), [np.zeros((0, 2), np.int64)], vocabulary
+    look = np.flatnonzero(~last[:-1])
+    while len(look):
+        kind, bits = (np.uint32, 16) if top <= 1 << 16 else (np.uint64, 32)
+        key = seq[look].astype(kind) << kind(bits) | seq[look + 1].astype(kind)
+        s = np.sort(key)
+        edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        pairs = s[edge][np.diff(np.append(edge, len(s))) >= least]
         if not len(pairs):
             break
-        pairs = np.sort(pairs[np.lexsort((pairs, -n))[:per_round]])
-        left, right = np.zeros(vocabulary + len(rules), bool), np.zeros(vocabulary + len(rules), bool)
-        left[pairs >> kind(bits)], right[pairs & kind((1 << bits) - 1)] = True, True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & ~last[:-1])
-        k = np.minimum(np.searchsorted(pairs, key[at]), len(pairs) - 1)
-        found = pairs[k] == key[at]
-        at, k = at[found], k[found]
+        # pairs that share a slot wait for the next round, all but one
+        place = lambda x: (x.astype(_U) * MIXER >> _U(44)).astype(np.int32)
+        slots, crowd, slot = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, bool), place(pairs)
+        slots[slot] = np.arange(len(pairs))
+        crowd[slot[slots[slot] != np.arange(len(pairs))]] = True
+        slot = place(key)
+        k = slots[slot]
+        found = pairs[k] == key
+        late = look[crowd[slot] & ~found]
+        at, k = look[found], k[found]
         # of pairs that overlap in a run, every other one is taken
-        first = np.r_[True, np.diff(at) != 1]
-        run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+        start = np.r_[True, np.diff(at) != 1]
+        run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
-        at, k = at[take], k[take]
-        used = np.unique(k)
-        seq[at] = vocabulary + len(rules) + np.searchsorted(used, k)
-        rules = np.concatenate([rules, np.stack([pairs[used] >> kind(bits), pairs[used] & kind((1 << bits) - 1)], 1).astype(np.int64)])
+        wait, at, k = at[~take], at[take], k[take]
+        used = np.flatnonzero(np.bincount(k, minlength=len(pairs)))
+        number = np.zeros(len(pairs), np.int64)
+        number[used] = top + np.arange(len(used))
+        seq[at] = number[k]
+        rules.append(np.stack([pairs[used] >> kind(bits), pairs[used] & kind((1 << bits) - 1)], 1).astype(np.int64))
+        top += len(used)
         last[at] = last[at + 1]
         stays = np.ones(len(seq), bool)
         stays[at + 1] = False
+        again = np.zeros(len(seq) + 1, bool)
+        again[at] = again[wait] = again[late] = True
+        again[at[at > 0] - 1] = True
+        # the place before a pair may itself be the pair before
+        twice = at[(at > 1) & ~stays[at - 1]]
+        again[twice - 2] = True
+        again = again[:-1] & stays
         seq, last = seq[stays], last[stays]
-    return seq, last, rules
+        look = np.flatnonzero(again[stays][:-1] & ~last[:-1])
+    return seq, last, np.concatenate(rules)
+
+
+def lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Ids in the expansion of each rule."""
+    size: list[int] = []
+    for a, b in rules.tolist():
+        size.append((1 if a < vocabulary else size[a - vocabulary]) + (1 if b < vocabulary else size[b - vocabulary]))
+    return np.array(size, np.int64)
 
 
 def expansions(rules: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +288,7 @@ def pack(doc_ids: list[int], tokens: list[np.ndarray], vocabulary: int) -> bytes
     last = np.zeros(len(ids), bool)
     last[np.cumsum(counts) - 1] = True
     seq, last, rules = re_pair(ids, last, vocabulary)
-    size = expansions(rules, vocabulary)[2][vocabulary:]
+    size = lengths(rules, vocabulary)
     ends = np.flatnonzero(last) + 1
     width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
     head = HEAD.pack(MAGIC, len(doc_ids), len(rules), len(seq), vocabulary, width)
@@ -210,88 +339,88 @@ class TokenFile:
 def write_files(docs: DataFrame, tokenizer: str, folder: str, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes token files into ``folder`` (a URI that all executors reach): doc_id ascending over the files by name.
 
-    Returns the files written: file, n_docs, n_tokens. A task that is run again writes the same files
-    under the same names; each file appears whole, by a rename. Null text counts as empty; null
-    doc_ids are not allowed in the format and are written as -1; repeated doc_ids stay, ordered by text.
-    Other columns are not read.
+    Returns the files written: file, n_docs, n_tokens. Only files listed there count: a task that is run again
+    writes files of its own, and those of a lost attempt are never listed. Null text counts as empty; null
+    doc_ids are not allowed in the format and are written as -1; repeated doc_ids stay, ordered by a hash of their text.
+    Other columns are not read. An empty table gives no file.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        encoder = Encoder(tokenizer)  # of this task only: kept longer, its words would fill memory that later stages need
-        vocabulary = encoder.tokenizer.get_vocab_size()
+        held = encoder(tokenizer)
         store, where = fs.FileSystem.from_uri(folder)
         store.create_dir(where, recursive=True)
         task = TaskContext.get()
-        part, done = task.partitionId(), 0
         ids: list[int] = []
         tokens: list[np.ndarray] = []
-        n = 0
+        done = n = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal done, n
-            name = f"{part:08d}-{done:06d}.tmg"
-            draft = f"{where}/_{name}.{task.taskAttemptId()}"
-            with store.open_output_stream(draft) as f:
-                f.write(pack(ids, tokens, vocabulary))
-            if store.get_file_info(f"{where}/{name}").is_file:
-                store.delete_file(f"{where}/{name}")
-            store.move(draft, f"{where}/{name}")
-            row = pd.DataFrame([(name, len(ids), n)], columns=["file", "n_docs", "n_tokens"])
+            name = f"{task.partitionId():08d}-{done:06d}-{task.taskAttemptId()}.tmg"
+            with store.open_output_stream(f"{where}/{name}") as f:
+                f.write(pack(ids, tokens, held.vocabulary))
+            row = pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(ids)], "n_tokens": [n]})
             ids.clear()
             tokens.clear()
             done, n = done + 1, 0
             return row
 
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for doc, x in zip(pdf["doc_id"].tolist(), encoder.encode(texts)):
-                if ids and n + len(x) + 1 > file_tokens:
-                    yield flush()
-                ids.append(doc)
-                tokens.append(np.append(x, END).astype(np.uint32))
-                n += len(x) + 1
+        for batch in batches:
+            for rows, b, first in text_chunks(batch, "text"):
+                flat, counts = held.encode(b, first)
+                for doc, x in zip(batch.column("doc_id")[rows.start : rows.stop].to_pylist(), np.split(flat, np.cumsum(counts)[:-1])):
+                    if ids and n + len(x) + 1 > file_tokens:
+                        yield flush()
+                    ids.append(doc)
+                    tokens.append(np.append(x, END).astype(np.uint32))
+                    n += len(x) + 1
         if ids:
             yield flush()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     # sorting and cutting into ranges also bounds what a task encodes; ranges follow the sizes seen at run time
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(write, "file string, n_docs long, n_tokens long")
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    return rows.mapInArrow(write, "file string, n_docs long, n_tokens long")
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Decodes the files: file, row (of the document in its file), doc_id, begin (first id in the file), ids_crc32, n_tokens, ids."""
+def read_files(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
+    """Decodes the files: file, row (of the document in its file), doc_id, begin (first id in the file), n_tokens, ids_crc32 and, with ``ids``, the ids."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"]):
-                f = TokenFile(data)
-                ids = f.all().astype("<u4")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+                f = TokenFile(data.as_buffer())
+                flat = f.all().astype("<u4")
                 ends = np.cumsum(f.tokens)
-                docs = [ids[e - n : e] for e, n in zip(ends, f.tokens)]
-                yield pd.DataFrame({"file": path.rsplit("/", 1)[-1], "row": np.arange(len(docs)), "doc_id": f.doc_ids, "begin": ends - f.tokens, "n_tokens": f.tokens, "ids_crc32": [zlib.crc32(x.tobytes()) for x in docs], "ids": docs})
+                raw = memoryview(flat).cast("B")
+                out = {"file": [path.rsplit("/", 1)[-1]] * len(ends), "row": np.arange(len(ends)), "doc_id": f.doc_ids, "begin": ends - f.tokens, "n_tokens": f.tokens}
+                out["ids_crc32"] = np.array([zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), f.tokens.tolist())], np.int64)
+                if ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat.astype(np.int64)))
+                yield pa.RecordBatch.from_pydict(out)
 
-    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(read, "file string, row long, doc_id long, begin long, n_tokens long, ids_crc32 long, ids array<long>")
+    schema = "file string, row long, doc_id long, begin long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
+    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(read, schema)
 
 
-def token_files(docs: DataFrame, tokenizer: str, name: str = "tokens") -> tuple[DataFrame, DataFrame]:
+def token_files(docs: DataFrame, tokenizer: str, name: str = "tokens", ids: bool = True) -> tuple[DataFrame, DataFrame]:
     """Writes the files; returns the table of files, each with its first id's place in the whole, and what they hold."""
-    small_batches(docs.sparkSession)
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, name)
     files = write_table(write_files(docs, tokenizer, folder), f"{name}-list")
     # one row for each file of millions of ids
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     if files.isEmpty():
-        return files, spark.createDataFrame([], "file string, row long, doc_id long, begin long, n_tokens long, ids_crc32 long, ids array<long>")
-    return files, read_files(spark, folder)
+        return files, spark.createDataFrame([], "file string, row long, doc_id long, begin long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
+    return files, read_files(spark, folder, ids)
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files that it writes."""
-    files, held = token_files(docs, tokenizer)
-    rows = held.drop("ids").join(files.select("file", "first"), "file")
+    files, held = token_files(docs, tokenizer, ids=False)
+    rows = held.join(files.select("file", "first"), "file")
     return rows.select("doc_id", (F.col("first") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -302,4 +431,5 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from its token files."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
