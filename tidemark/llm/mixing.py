@@ -27,14 +27,14 @@ def share_out(children: DataFrame, parent: list[str]) -> DataFrame:
 
     Each child gets its share by weight, but no more than ``cap``; what a child can't use goes to its
     siblings in proportion to their weights, until all are full. Grants are whole numbers and sum
-    up to the smaller of budget and caps.
+    up to the smaller of budget and caps. A child of weight 0 gets nothing. Equal children go by name.
     """
     of = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    order = of.orderBy(F.col("cap") / F.col("weight"), "name")
+    order = of.orderBy((F.col("cap") / F.nullif(F.col("weight"), F.lit(0))).asc_nulls_last(), "name")
     before, whole = order.rowsBetween(Window.unboundedPreceding, -1), lambda c: c.cast("decimal(38,0)")
     filled = F.coalesce(F.sum("cap").over(before), F.lit(0))
     rest = F.sum("weight").over(of) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    rows = children.withColumn("full", whole(F.col("cap")) * rest <= whole(F.col("budget") - filled) * F.col("weight"))
+    rows = children.withColumn("full", (F.col("weight") > 0) & (whole(F.col("cap")) * rest <= whole(F.col("budget") - filled) * F.col("weight")))
     left = F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(of), F.lit(0))
     free = F.when(F.col("full"), 0).otherwise(F.col("weight"))
     rows = rows.withColumns({"left": left, "free": F.sum(free).over(of), "upto": F.sum(free).over(order.rowsBetween(Window.unboundedPreceding, 0))})
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, budget: int | None = None, weights: Mapping[tuple[str,
     may be less than n_tokens.
 
     Null lang, source or domain are a node named ``none``. Documents without words are never used.
-    Rows of one doc_id each count. The place in a leaf is found from sums over hash ranges first,
+    Rows of one doc_id each count, rows with a null doc_id too. Other columns are not read; an empty table gives an empty one. The place in a leaf is found from sums over hash ranges first,
     so no leaf is sorted in one task.
     """
     keys = [F.coalesce(F.col(k), F.lit("none")).alias(k) for k in LEVELS]
@@ -99,6 +99,7 @@ def domain_of(source: Column) -> Column:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uses of all documents under half of all words as budget, by WEIGHTS."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs.select("doc_id", "text", "lang", "source", domain_of(F.col("source")).alias("domain")))
 
@@ -109,10 +110,10 @@ def _level_sql(depth: int) -> str:
     own = [(p, w) for p, w in WEIGHTS.items() if len(p) == depth]
     weight = "CASE " + " ".join(f"WHEN {' AND '.join(f'{c} = {v!r}' for c, v in zip(keys, p))} THEN {w}" for p, w in own) + " ELSE 1 END" if own else "1"
     parent = f"JOIN g{depth - 1} USING ({', '.join(up)})" if up else "CROSS JOIN (SELECT CAST(floor(sum(tokens) * 0.5) AS BIGINT) AS budget FROM leaves)"
-    order = f"{of} ORDER BY cap / weight, {keys[-1]}"
+    order = f"{of} ORDER BY cap / nullif(weight, 0) NULLS LAST, {keys[-1]}"
     return f"""
 n{depth} AS (SELECT c.*, budget, CAST({weight} AS HUGEINT) AS weight FROM (SELECT {k}, CAST(sum(tokens * {MAX_EPOCHS}) AS HUGEINT) AS cap FROM leaves GROUP BY {k}) c {parent}),
-f{depth} AS (SELECT *, cap * (sum(weight) OVER ({of}) - coalesce(sum(weight) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+f{depth} AS (SELECT *, weight > 0 AND cap * (sum(weight) OVER ({of}) - coalesce(sum(weight) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   <= (budget - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS filled FROM n{depth}),
 s{depth} AS (SELECT *, budget - coalesce(sum(CASE WHEN filled THEN cap END) OVER ({of}), 0) AS rest, sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({of}) AS free,
   sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM f{depth}),
