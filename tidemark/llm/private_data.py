@@ -15,10 +15,14 @@ KINDS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
-#: A term's context: this many characters on either side of a match; the shortest term.
-REACH, SHORTEST = 80, 4
-#: Documents in which a term must occur with an entity, and disclosure from which it is generalised or removed.
-SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+#: A term's disclosure is judged in bits: how many it must tell about an entity, and what uncertainty about the entity is left
+#: when the term is known, up to which it is generalised or, with less, removed.
+GAIN, GENERALISE, REMOVE = 3.0, 1.0, 0.6
+#: Documents without the entity that every estimate adds to a term's: a term met once leaves one bit.
+PRIOR = 1.0
+#: Terms, eight bytes each, up to which all tasks get them to look for them in further documents; beyond, that join is shuffled.
+SENT_TERMS = 1_000_000
+TERM = r"\p{L}+"
 
 SPAN = "array<struct<start: int, end: int, value: string>>"
 
@@ -62,7 +66,7 @@ VALID = {
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Adds a column for each kind, its valid matches (start, end, value) in the whole text; null text has none."""
+    """Adds a column for each kind, its valid matches (start, end, value) in the whole text; null text has none. Input columns of these names are replaced."""
     none = F.array().cast(SPAN)
     text = F.coalesce("text", F.lit(""))
     raw = {}
@@ -89,66 +93,102 @@ def entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.lower(value) if kind in ("email", "ip") else _digits(value))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """doc_id, entity, term, start, end: the whole words near each base span that lie in no other one."""
-    def placed(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(entity(kind, s["value"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
-
-    rows = found.filter(sum((F.size(k) for k in KINDS), F.lit(0)) > 0).select("doc_id", "text", F.concat(*map(placed, KINDS)).alias("all"))
-    rows = rows.select("doc_id", "text", "all", F.explode("all").alias("e"))
-    lo = F.greatest(F.col("e.start") - REACH, F.lit(0))
-    sides = F.array(F.struct(lo.alias("at"), F.substring("text", lo + 1, F.col("e.start") - lo).alias("t")), F.struct(F.col("e.end").alias("at"), F.substring("text", F.col("e.end") + 1, F.lit(REACH)).alias("t")))
-    rows = rows.select("doc_id", "all", "e.entity", F.length("text").alias("n"), F.explode(sides).alias("side"))
-    rows = rows.select("doc_id", "all", "entity", "n", "side.at", F.length("side.t").alias("m"), matches(F.col("side.t"), r"\p{L}+").alias("words"))
-    words = rows.select("doc_id", "all", "entity", "n", "at", "m", F.explode("words").alias("w")).filter(F.length("w.value") >= SHORTEST)
-    # a word at the edge of the context may be cut off
-    words = words.filter(((F.col("w.start") > 0) | (F.col("at") == 0)) & ((F.col("w.end") < F.col("m")) | (F.col("at") + F.col("m") == F.col("n"))))
-    words = words.select("doc_id", "all", "entity", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-    return words.filter(~F.exists("all", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))).drop("all")
+def masked(text: Column, spans: Column) -> Column:
+    """The text with spaces for all characters of the spans (start, end), so that places stay."""
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
+    def step(acc: Column, s: Column) -> Column:
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0))))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
 
-def revealing_terms(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """entity, term, disclosure of terms from GENERALISE up.
+    done = F.aggregate(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), first, step)
+    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
 
-    Disclosure is the pointwise mutual information of term and entity over all documents, as a
-    share of what the entity's own appearance tells: 1 if the term occurs nowhere else.
-    """
-    pairs = write_table(near.groupBy("entity", "term").agg(F.count_distinct("doc_id").alias("both")).filter(F.col("both") >= SUPPORT), "pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{{SHORTEST},}}"), F.lit(0)))).alias("term"))
-    # every term is counted before any is looked up: the join then has a row for each term, not for each use of it
-    freq = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    owners = near.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_entity"))
-    n = docs.count()
-    told = F.log(F.col("n_term") / F.col("both"))
-    own = F.log(F.lit(n) / F.col("n_entity"))
-    out = pairs.join(freq, "term").join(owners, "entity").select("entity", "term", F.when(own > 0, 1 - told / own).otherwise(0.0).alias("disclosure"))
-    return out.filter(F.col("disclosure") >= GENERALISE)
 
+def revealing_terms(docs: DataFrame, held: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """term, left: terms that reveal an entity, with the bits of uncertainty that they leave about it (the least of all entities).
 
-def private_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text, the base kinds, and ``terms``: (start, end, value) of revealing terms, value being what is done with them.
+    ``held`` has (doc_id, entity), each once, ``occurrences`` (doc_id, term) of the documents that hold entities, and ``docs``
+    (doc_id, text) of all others. Over all documents, n have the term, b of these the entity, and a share p of all documents
+    has the entity. The term's estimate of the entity is (b + PRIOR p) / (n + PRIOR); it tells log2 of estimate / p bits and leaves -log2 of the estimate.
 
-    A term that reveals an entity is marked where both stand together. Rows with a null doc_id have
-    base spans, but take no part in the statistics of terms. Rows of one doc_id count as one document.
+    Entities in the same documents give the same figures, and so do terms: they are counted as one, so a document with many of both
+    doesn't cost their product. Only a term that is in few documents without entities can leave so little; others are not looked at.
+    """
+    doc = [F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).alias(f"s{k}") for k in (1, 2)]
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    # every term is counted before any is looked up: the join then has a row for each term, not for each use of it
+    free = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_free"))
+    uses = occurrences.select("doc_id", "term").distinct()
+    terms = uses.groupBy("term").agg(F.count(F.lit(1)).alias("m"), *doc).join(free, "term", "left")
+    n = F.col("m") + F.coalesce("n_free", F.lit(0))
+    most = (F.col("m") + PRIOR) / (n + PRIOR)
+    terms = write_table(terms.filter(-F.log2(most) <= GENERALISE).select("term", n.alias("n"), F.xxhash64("m", "s1", "s2", n).alias("kind"), "s1", "s2"), "terms")
+    all_docs = docs.count() + held.select("doc_id").distinct().count()
+    owners = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), *doc)
+    owners = owners.select("entity", (F.col("n_entity") / F.lit(all_docs)).alias("p"), F.xxhash64("n_entity", "s1", "s2").alias("owner"), F.col("s1").alias("o1"))
+    owners = owners.filter(-F.log2("p") >= GAIN)  # what everybody has can't be revealed
+    of = held.join(owners, "entity").select("doc_id", "owner", "o1", "p").distinct()
+    by = uses.join(terms, "term").select("doc_id", "kind", "s1", "n").distinct()
+    pairs = by.join(of, "doc_id").groupBy("kind", "s1", "n", "owner", "o1", "p").agg(F.count(F.lit(1)).alias("b"))
+    estimate = (F.col("b") + PRIOR * F.col("p")) / (F.col("n") + PRIOR)
+    strong = pairs.select("kind", "s1", (-F.log2(estimate)).alias("left"), F.log2(estimate / F.col("p")).alias("gain")).filter((F.col("left") <= GENERALISE) & (F.col("gain") >= GAIN))
+    return terms.join(strong.groupBy("kind", "s1").agg(F.min("left").alias("left")), ["kind", "s1"]).select("term", "left", "n")
+
+
+def replacement(value: Column, left: Column) -> Column:
+    """Nothing for a term to be removed, else the class of the word: a name, an acronym, or another word."""
+    upper = F.upper(value) == value
+    kind = F.when(upper & (F.length(value) > 1), "[acronym]").when(F.upper(F.substring(value, 1, 1)) == F.substring(value, 1, 1), "[name]").otherwise("[word]")
+    return F.when(left <= REMOVE, "").otherwise(kind)
+
+
+def private_spans(docs: DataFrame, text: bool = True) -> DataFrame:
+    """doc_id, (with ``text``) text, the base kinds, and ``terms``: (start, end, value) of revealing terms, value being what replaces them.
+
+    A term is a word, in lower case, outside of base spans. One that reveals an entity is marked wherever it stands in any document.
+    Rows with a null doc_id have base spans, but take no part in the statistics of terms and have no terms. Rows of one doc_id count as one
+    document and must have one text. Null text is empty. Other columns are not read; an empty table gives an empty one.
     """
-    found = base_spans(docs.select("doc_id", "text"))
-    near = write_table(contexts(found.filter("doc_id is not null")), "contexts")
-    if near.isEmpty():
-        return found.withColumn("terms", F.array().cast(SPAN))
-    strong = revealing_terms(docs.filter("doc_id is not null"), near)
-    act = F.when(F.max("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("value")
-    marks = near.join(strong, ["entity", "term"]).groupBy("doc_id", "start", "end").agg(act)
-    marks = marks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("terms"))
-    out = found.join(marks, "doc_id", "left")
-    return out.withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
+    rows = docs.select("doc_id", "text")
+    every = F.concat(*KINDS)
+    found = base_spans(rows).withColumn("rest", F.when((F.size(every) > 0) & F.col("doc_id").isNotNull(), masked(F.col("text"), every)))
+    found = write_table(found if text else found.drop("text"), "base-spans")
+    out = found.drop("rest")
+    def entities(kind: str) -> Column:
+        return F.transform(kind, lambda s: entity(kind, s["value"]))
+
+    owned = found.filter("rest is not null").select("doc_id", "rest", F.concat(*map(entities, KINDS)).alias("entities"))
+    held = write_table(owned.select("doc_id", F.explode("entities").alias("entity")).distinct(), "entities")
+    if held.isEmpty():
+        return out.withColumn("terms", F.array().cast(SPAN))
+
+    def places(x: DataFrame, column: str) -> DataFrame:
+        return x.select("doc_id", F.explode(matches(F.col(column), TERM)).alias("w")).select("doc_id", F.lower("w.value").alias("term"), "w.*")
+
+    uses = write_table(places(owned.dropDuplicates(["doc_id"]), "rest"), "term-uses")
+    others = rows.filter("doc_id is not null and text is not null").join(held.select("doc_id").distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    strong = write_table(revealing_terms(others, held, uses), "revealing")
+    marks = uses.join(strong, "term")
+    spread = strong.join(uses.groupBy("term").agg(F.count_distinct("doc_id").alias("m")), "term").filter("m < n").select("term", "left")
+    spread = write_table(spread, "spread")
+    if not spread.isEmpty():  # terms that also stand in documents without entities
+        few = spread.count() <= SENT_TERMS
+        words = others.select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+        if few:
+            words = words.join(F.broadcast(spread.select(F.xxhash64("term").alias("short"))), F.xxhash64("term") == F.col("short"), "left_semi")
+        where = write_table(words.join(spread, "term").select("doc_id").distinct(), "spread-docs")
+        marks = marks.select("doc_id", "term", "start", "end", "value", "left").unionByName(places(others.join(where, "doc_id"), "text").join(spread, "term"))
+    marks = marks.select("doc_id", "start", "end", replacement(F.col("value"), F.col("left")).alias("value")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("terms"))
+    return out.join(marks, "doc_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id and text in which base spans are replaced by their kind, revealing terms by ``[term]`` or nothing."""
+    """doc_id and text in which base spans are replaced by their kind, revealing terms by the class of the word or nothing."""
     def marked(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind}]").alias("by")))
 
-    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["value"] == "generalise", "[term]").otherwise("").alias("by")))
+    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("by")))
     rows = private_spans(docs).withColumn("all", F.array_sort(F.concat(*map(marked, KINDS), terms)))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -161,7 +201,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = private_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Counts and digest of base spans, all spans with those of revealing terms, and what replaces the terms (start:end:replacement)."""
+    rows = private_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), text=False)
     base = [(k, F.col(k)) for k in KINDS]
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined([*base, ("term", F.col("terms"))]).alias("spans"))
+    done = F.array_join(F.transform("terms", lambda s: F.concat_ws(":", s["start"], s["end"], s["value"])), ",")
+    return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined([*base, ("term", F.col("terms"))]).alias("spans"), F.size("terms").cast("long").alias("n_terms"), done.alias("actions"))
