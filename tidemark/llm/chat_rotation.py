@@ -3,10 +3,11 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Turn numbers that share a part. A conversation is rendered in parts, so none has to fit into one row.
-TURNS = 64
-#: The marks around a turn.
+#: Turn numbers that share a part: a dialogue is one row up to here, and a longer one goes on in further parts, so that no row is unbounded.
+TURNS = 1024
+#: The marks around a turn, and what they start with; in names and texts that is written with a space, so that nobody can forge a turn.
 OPEN, SHUT = "<|im_start|>", "<|im_end|>\n"
+MARK, PLAIN = "<|", "< |"
 
 
 def _segment(own: Column, role: Column, text: Column) -> tuple[Column, Column, Column]:
@@ -24,11 +25,14 @@ def rotate(turns: DataFrame, width: int = TURNS) -> DataFrame:
     A part holds the turns whose number divided by ``width`` gives the same whole number; participants without a turn in
     a part still see it. Parts in order make up the conversation.
 
-    Turns go by number, then role, then text; a row that is there more than once is rendered once.
+    In roles and texts ``<|`` is written ``< |``, and in roles a line break as a space: only rendered turns hold marks.
+    Turns go by number, then role, then text; a row that is there more than once is rendered once. Every participant sees all
+    turns, so the result is as large as the table times the participants of a conversation.
     A null role is a participant named ``unknown``, null text is empty, a null turn comes first in
     part 0. Rows with a null conv_id belong to no conversation and are left out.
     """
-    role, text = F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    plain = lambda x, null: F.replace(F.coalesce(x, F.lit(null)), F.lit(MARK), F.lit(PLAIN))
+    role, text = F.replace(plain("role", "unknown"), F.lit("\n"), F.lit(" ")).alias("role"), plain("text", "").alias("text")
     rows = turns.filter("conv_id is not null").select("conv_id", "turn", role, text).distinct()
     rows = rows.withColumn("part", F.coalesce(F.expr(f"cast(floor(turn / {width}) as bigint)"), F.lit(0)))
     people = rows.select("conv_id", F.col("role").alias("participant")).distinct()
@@ -53,11 +57,12 @@ def rotate(turns: DataFrame, width: int = TURNS) -> DataFrame:
 
 
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, seen by each of their participants."""
     return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 OP6_SQL = """
-WITH r AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, coalesce(CAST(floor(turn / 64) AS BIGINT), 0) AS part FROM conversations WHERE conv_id IS NOT NULL),
+WITH r AS (SELECT DISTINCT conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(10), ' ') AS role, replace(coalesce(text, ''), '<|', '< |') AS text, coalesce(CAST(floor(turn / 1024) AS BIGINT), 0) AS part FROM conversations WHERE conv_id IS NOT NULL),
 p AS (SELECT DISTINCT conv_id, role AS participant FROM r),
 s AS (SELECT r.*, participant, role = participant AS own, CASE WHEN role = participant THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || role || chr(10) END AS head FROM r JOIN p USING (conv_id)),
 q AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS seg FROM s),
