@@ -12,6 +12,8 @@ from tidemark.llm.common import SPACES, shared_dir, write_table
 
 #: Rows of one group of copies that are compared with one copy of the kept text.
 ROWS_PER_COPY = 1000
+#: Digests of copies, eight bytes each, up to which all tasks get them, to leave out texts that have none before these are shuffled.
+SENT_DIGESTS = 1_000_000
 
 
 def digest_of(text: Column) -> Column:
@@ -56,13 +58,16 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     if spark._jvm.org.apache.hadoop.fs.Path(deltas).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(deltas)):
         # a digest that a later batch met again is there more than once; the last has the largest count
         groups = spark.read.parquet(deltas).groupBy("digest").agg(F.min("place").alias("keep"), F.max("n").alias("n"))
-    copies = groups.filter("n > 1")
+    copies = write_table(groups.filter("n > 1"), "dedup-copies")  # a table, so that joins can split a large group
 
     keys = docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), digest(text).alias("digest"))
     out = keys.join(copies.select("digest", F.col("keep.doc_id").alias("first"), "n"), "digest", "left").select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "text_sha256", "digest")
 
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    hits = write_table(docs.select("doc_id", text.alias("body"), digest(text).alias("digest"), *where).join(copies, "digest"), "dedup-hits")
+    bodies = docs.select("doc_id", text.alias("body"), digest(text).alias("digest"), *where)
+    if copies.count() <= SENT_DIGESTS:
+        bodies = bodies.join(F.broadcast(copies.select(F.xxhash64("digest").alias("short"))), F.xxhash64("digest") == F.col("short"), "left_semi")
+    hits = write_table(bodies.join(copies, "digest"), "dedup-hits")
     parts = F.ceil(F.col("n") / ROWS_PER_COPY).cast("int")
     first = hits.filter("file = keep.file and row = keep.row").select("digest", F.col("body").alias("held"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     other = hits.withColumn("part", F.pmod(F.xxhash64("file", "row"), parts.cast("long")).cast("int")).join(first, ["digest", "part"]).filter("body <> held")
@@ -76,6 +81,7 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents, from a fresh state."""
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
