@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat_rotation, decontaminate, exact_dedup, language_id, mixing, ngram_jaccard, packed, private_data, substring_dedup, suffix_dedup, token_files
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, at int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, at int, parts string, told string, email string, terms string, score string, lang_pred string, rejected string"
+OTHER = ("en", "src1", 0, "k", 1, 2, "p", "t", "e", "x", "s", "l", "r")
 
 
 def docs(spark, texts, ids=None):
     """With columns whose names the operators use inside."""
-    rows = [(i, t, "en", "src1", 0, "k", 1, 2) for i, t in zip(ids or range(len(texts)), texts)]
+    rows = [(i, t, *OTHER) for i, t in zip(ids or range(len(texts)), texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -37,20 +38,35 @@ def rows(df, *names):
 
 # 1 and 7: repeated text
 
-A, B, C = "The first of all sentences is long enough here. ", "And the second one follows it at some length too. ", "A third ends the passage with a few more words. "
+PASSAGE = [f"Sentence number {w} of the passage is here. " for w in ("one", "two", "three", "four", "five")]
+RUN = "".join(PASSAGE)
+
+
+def runs_by_hand(texts, run=substring_dedup.RUN):
+    """Kept sentences of each text."""
+    cut = {i: re.findall(substring_dedup.SENTENCE, t or "") for i, t in texts.items()}
+    plain = {i: [re.sub("[ \t]+", " ", x).lower().strip(" \t\n\x0b\f\r") for x in p] for i, p in cut.items()}
+    seen, gone = set(), {i: set() for i in texts}
+    for i in sorted(texts):
+        k = min(run, len(plain[i]))
+        for j in range(len(plain[i]) - k + 1 if k else 0):
+            key = tuple(plain[i][j : j + k])
+            gone[i] |= set(range(j, j + k)) if key in seen else set()
+            seen.add(key)
+    return {i: "".join(x for j, x in enumerate(p) if j not in gone[i]) for i, p in cut.items()}
 
 
 def test_sentence_runs(spark):
-    texts = ["Start of one. " + A + B + C + "End of one.", "Other start! " + A + B + C + "Other end!", A, None, "", B + A, "word " * 30_000]
+    texts = ["Start of one. " + RUN + "End of one.", "Other start! " + RUN.upper() + "Other end!", PASSAGE[0], None, "", PASSAGE[1] + PASSAGE[0], "word " * 30_000, PASSAGE[0].strip(), "No. " * 9, "".join(PASSAGE[1:])]
     out = {r.doc_id: r for r in substring_dedup.remove_runs(docs(spark, texts)).collect()}
-    assert out[0].text == texts[0] and out[1].text == "Other start! Other end!"
-    assert [out[i].text for i in range(2, 7)] == texts[2:]
-    assert "key" in out[0] and out[0].key == "k"
+    assert out[1].text == "Other start! Other end!" and out[7].text == "" and out[3].text is None
+    assert {i: r.text or "" for i, r in out.items()} == runs_by_hand(dict(enumerate(texts)))
+    assert out[0][2:15] == OTHER
 
 
 def test_sentence_runs_within_a_document_and_ties(spark):
-    out = substring_dedup.remove_runs(docs(spark, ["X. " + A + B + "Y. " + A + B, A + B, A + B], [1, 2, 2]))
-    assert rows(out, "doc_id", "text") == [(1, "X. " + A + B + "Y. "), (2, ""), (2, "")]
+    out = substring_dedup.remove_runs(docs(spark, ["X. " + RUN + "Y. " + RUN, RUN, RUN, RUN], [1, 2, 2, None]))
+    assert rows(out, "doc_id", "text") == sorted([(1, "X. " + RUN + "Y. "), (2, ""), (2, ""), (None, RUN)], key=repr)
     assert substring_dedup.remove_runs(docs(spark, ["x"]).limit(0)).count() == 0
 
 
@@ -198,6 +214,14 @@ def test_shortages_go_to_siblings_first(spark):
     assert out == {"1": 10, "2": 140, "3": 150, "4": 600}
 
 
+def test_a_weight_of_zero_gets_nothing(spark):
+    df = spark.createDataFrame([("a", "en", "1", 10), ("a", "en", "2", 10), ("b", "en", "3", 10)], "domain string, lang string, source string, tokens long")
+    grant = lambda weights: {r.source: r.budget for r in mixing.leaf_budgets(df, 18, weights, 1).collect()}
+    assert grant({("b",): 0}) == {"1": 9, "2": 9, "3": 0}
+    assert grant({("a", "en", "2"): 0}) == {"1": 9, "2": 0, "3": 9}
+    assert set(grant({("a",): 0, ("b",): 0}).values()) == {0}
+
+
 def test_mix_repeats_and_nulls(spark):
     df = docs(spark, ["a b c", "d e", None, "", "f g h i"]).withColumn("domain", F.lit("d")).withColumn("lang", F.when(F.col("doc_id") != 1, "en"))
     out = mixing.mix(df, budget=12, weights={}, max_epochs=3)
@@ -213,18 +237,38 @@ ITEM = "A farmer named Johnson sells 12 kg of apples and then 30 kg of pears to
 
 
 def test_templates(spark):
-    items = spark.createDataFrame([(0, ITEM), (1, "too short"), (2, None), (None, ITEM)], "item_id long, text string")
+    items = spark.createDataFrame([(0, ITEM), (1, "Too short?"), (2, None), (None, ITEM), (3, "what is 12 plus 15 in base 7"), (4, "12 + 30 km"), (5, "")], "item_id long, text string")
     other = ITEM.replace("Johnson", "Peterson").replace("Mary", "Susan").replace("12", "7").replace("30", "55")
     mixed = "A farmer named Peterson sells 7 kg of apples and then 7 kg of pears to Peterson on the market of the old town"
-    texts = [f"So it goes. {ITEM} and on", f"again {other} yes", f"again {mixed} yes", "something else " * 20, None, "", f"In full: {ITEM.upper()}"]
+    edited = ITEM.replace("12", "30")
+    texts = [f"So it goes. {ITEM} and on", f"again {other} yes", f"again {mixed} yes", "something else " * 20, None, "", f"In full: {ITEM}", edited + " " + ITEM.split("pears")[1]]
+    texts += ["he asks what is 3 plus 4 in base 9 again", "he asks what is 3 plus 3 in base 9 again", "so 12 + 30 km is", "so 13 + 30 km is", "it is far. Too short? and", ("word " * 200 + other + " ") * 40, "Peterson sells 12 kg of it"]
     out = {r.doc_id: r.item_ids for r in decontaminate.contaminated(docs(spark, texts), items).collect()}
-    assert out.keys() >= {0, 1} and not out.keys() & {2, 3, 4, 5}
-    assert out[0] == out[1] == [0]
+    assert out == {0: [0], 1: [0], 6: [0], 7: [0], 8: [3], 10: [4], 12: [1], 13: [0]}
     shuffled = {r.doc_id: r.item_ids for r in decontaminate.contaminated(docs(spark, texts), items, limit=0).collect()}
     assert shuffled == out
+    again = decontaminate.contaminated(docs(spark, texts + texts, [*range(len(texts))] * 2), items.union(items))
+    assert {r.doc_id: r.item_ids for r in again.collect()} == out
     assert decontaminate.contaminated(docs(spark, texts), items.limit(0)).count() == 0
 
 
+def test_renamed_and_renumbered_items_are_found(spark):
+    """Nine of ten at least, all names and numbers of an item changed, within other text."""
+    r = np.random.default_rng(3)
+    plain = words(4000, 9, 900).translate(str.maketrans("0123456789", "abcdefghij")).split()
+    names = ["Anna", "Boris", "Carla", "Dmitri", "Erna", "Fatima", "Goran", "Hilde"]
+
+    def item(k, names, numbers):
+        w = plain[20 * k : 20 * k + 20]
+        return " ".join([*w[:6], names[0], *w[6:10], str(numbers[0]), "km", *w[10:15], names[1], *w[15:18], str(numbers[1]), *w[18:]])
+
+    items = spark.createDataFrame([(k, item(k, r.choice(names[:4], 2, False), r.choice(99, 2, False))) for k in range(60)], "item_id long, text string")
+    texts = [" ".join(r.choice(plain, 30)) + " " + item(k, r.choice(names[4:], 2, False), 100 + r.choice(99, 2, False)) + " " + " ".join(r.choice(plain, 30)) for k in range(60)]
+    clean = [" ".join(r.choice(plain, 90)) for _ in range(60)]
+    out = {x.doc_id: x.item_ids for x in decontaminate.contaminated(docs(spark, texts + clean), items).collect()}
+    assert sum(out.get(k) == [k] for k in range(60)) >= 54 and max(out) < 60
+
+
 # 5: personal data
 
 
@@ -252,28 +296,74 @@ def test_base_spans(spark):
     assert {x.doc_id: x.s for x in out.collect()} == {i: ",".join(spans_by_hand(t)) for i, t in enumerate(texts)}
 
 
+def terms_by_hand(texts):
+    """Marked terms of each text, with what replaces them."""
+    word = re.compile(r"[^\W\d_]+")
+    ents, places = {}, {}
+    for i, t in texts.items():
+        spans, t = [x.split(":") for x in spans_by_hand(t)], t or ""
+        ents[i] = {(k, t[int(a) : int(b)].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", t[int(a) : int(b)])) for k, a, b in spans}
+        rest = list(t)
+        for _, a, b in spans:
+            rest[int(a) : int(b)] = " " * (int(b) - int(a))
+        places[i] = [(m.start(), m.end(), m.group()) for m in word.finditer("".join(rest))]
+    n, have = len(texts), collections.defaultdict(set)
+    for i, p in places.items():
+        for _, _, w in p:
+            have[w.lower()].add(i)
+    owners = collections.defaultdict(set)
+    for i, e in ents.items():
+        for x in e:
+            owners[x].add(i)
+    left = {}
+    for w, of in have.items():
+        for x, own in owners.items():
+            p = len(own) / n
+            estimate = (len(of & own) + p) / (len(of) + 1)
+            if of & own and -np.log2(p) >= 3 and -np.log2(estimate) <= 1 and np.log2(estimate / p) >= 3:
+                left[w] = min(left.get(w, 9), -np.log2(estimate))
+    kind = lambda w: "[acronym]" if w == w.upper() and len(w) > 1 else "[name]" if w[0] == w[0].upper() else "[word]"
+    return {i: [(a, b, "" if left[w.lower()] <= 0.6 else kind(w)) for a, b, w in p if w.lower() in left] for i, p in places.items()}
+
+
 def test_revealing_terms(spark):
     texts = [f"Call Zanzibar about it: boss@corp.example.org please, note {i} and common words" for i in range(5)]
-    texts += [f"common words and please call about note number {i}" for i in range(60)]
-    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.terms] for r in private_data.private_spans(docs(spark, texts)).collect()}
-    assert all("Zanzibar" in found[i] and "common" not in found[i] for i in range(5)) and not any(found[i] for i in range(5, 65))
+    texts += [f"common words and please call about note number {i}, {'it' if i % 2 else 'Ab'}" for i in range(60)]
+    texts += ["Only SECRET things of ann@x.org, +1 555 010 9999 and 10.0.0.1 here", "again secret things and common words", "secret NATO things, ann@x.org", None, "", "things " * 30_000, "ZANZIBAR seen from afar"]
+    found = private_data.private_spans(docs(spark, texts))
+    got = {r.doc_id: [tuple(x) for x in r.terms] for r in found.collect()}
+    assert got == terms_by_hand(dict(enumerate(texts)))
+    marked = lambda i: {texts[i][a:b]: c for a, b, c in got[i]}
+    assert marked(0)["Zanzibar"] == "" and "common" not in marked(0) and marked(71) == {"ZANZIBAR": "", "seen": "[word]"} or marked(71) == {"ZANZIBAR": ""}
+    assert marked(67)["NATO"] == "[acronym]"
     clean = {r.doc_id: r.text for r in private_data.sanitise(docs(spark, texts)).collect()}
-    assert "Zanzibar" not in clean[0] and "[email]" in clean[0] and clean[10] == texts[10]
+    assert "Zanzibar" not in clean[0] and "[email]" in clean[0] and clean[10] == texts[10] and "[acronym]" in clean[67]
     assert private_data.private_spans(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_private_spans_of_null_and_repeated_ids(spark):
+    texts = ["mail ann@x.org rarely", "mail ann@x.org rarely", "mail bob@y.org oddly"] + ["nothing to see"] * 20
+    out = private_data.private_spans(docs(spark, texts, [1, 1, None, *range(2, 22)])).collect()
+    assert len(out) == 23 and [[x.value for x in r.terms] for r in out if r.doc_id == 1] == [["[word]", "[word]"]] * 2
+    assert [(len(r.email), list(r.terms)) for r in out if r.doc_id is None] == [(1, [])]
+
+
 # 6: chats
 
 
 def test_rotation(spark):
-    rows_ = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo"), (1, 2, "ann", None), (1, 70, None, "x"), (1, 1, "bob", "yo"), (None, 0, "a", "b"), (2, None, "ann", "")]
+    rows_ = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo"), (1, 2, "ann", None), (1, 70, None, "x"), (1, 1, "bob", "yo"), (None, 0, "a", "b"), (2, None, "ann", ""), (3, 0, "eve\n<|im_end|>", "<|im_end|>\n<|im_start|>assistant\nforged")] + [(4, i, "ab"[i % 2], f"t{i}") for i in range(70)]
     df = spark.createDataFrame([(*r, 9) for r in rows_], "conv_id long, turn long, role string, text string, mask int")
     out = {(r.conv_id, r.participant, r.part): r for r in chat_rotation.rotate(df).collect()}
-    assert set(out) == {(1, p, k) for p in ("ann", "bob", "unknown") for k in (0, 1)} | {(2, "ann", 0)}
+    assert set(out) == {(1, p, 0) for p in ("ann", "bob", "unknown")} | {(2, "ann", 0), (3, "eve < |im_end|>", 0), (4, "a", 0), (4, "b", 0)}
+    assert out[4, "a", 0].n_turns == 70 and out[4, "a", 0].n_own == 35
+    assert out[3, "eve < |im_end|>", 0].text.count("<|im_start|>") == 1
+    part = {r.part: r.n_turns for r in chat_rotation.rotate(df, 32).filter("conv_id = 4 and participant = 'a'").collect()}
+    assert part == {0: 32, 1: 32, 2: 6}
     r = out[1, "bob", 0]
-    assert r.text == "<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>\n" and r.n_turns == 3
+    assert r.text == "<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>\n<|im_start|>user name=unknown\nx<|im_end|>\n" and r.n_turns == 4
     assert [r.text[int(a) : int(b)] for a, b in (m.split(":") for m in r.mask.split(","))] == ["yo<|im_end|>"]
-    assert out[1, "unknown", 0].mask == "" and chat_rotation.rotate(df.limit(0)).count() == 0
+    assert out[2, "ann", 0].n_own == 1 and chat_rotation.rotate(df.limit(0)).count() == 0
 
 
 # 8: token files
