@@ -86,3 +86,30 @@ def wrap(c: Column, bits: int) -> Column:
     """Two's-complement value of the lowest ``bits`` bits."""
     half = 1 << (bits - 1)
     return F.pmod(c + half, F.lit(1 << bits).cast("long")) - half
+
+
+def bit(c: Column, i: int) -> Column:
+    return F.getbit(c, F.lit(i)).cast("long")
+
+
+def bits(c: Column, n: int) -> Column:
+    """The lowest ``n`` bits, lowest first, as an array of 0 and 1."""
+    return F.array(*[bit(c, i) for i in range(n)])
+
+
+def mask(c: Column, n: int) -> Column:
+    """Only the bits of ``c`` that are set in ``n``."""
+    return c.bitwiseAND(F.lit(n).cast("long"))
+
+
+def pack(flags: Sequence[Column]) -> Column:
+    """Up to 63 columns of 0 and 1 as one number, the first as the lowest bit."""
+    out = F.lit(0).cast("long")
+    for i, x in enumerate(flags):
+        out = out.bitwiseOR(F.shiftleft(x.cast("long"), i))
+    return out
+
+
+def times_float(c: Column, factor: float, bits: int = FRACTION_BITS) -> Column:
+    """A whole number or one in fixed point times a known number, rounded to ``bits`` fraction bits first; cut downwards."""
+    return F.shiftright(c * F.lit(round(factor * (1 << bits))).cast("long"), bits)

@@ -1,8 +1,8 @@
 """Registered queries: each group has QUERIES (callables of session and folder) and SQL for the same rows."""
 
-from tidemark.plans import inference, relational, studies, timeseries, tpch
+from tidemark.plans import inference, relational, studies, timeseries, tpch, vectors
 
-GROUPS = (relational, tpch, studies, timeseries, inference)
+GROUPS = (relational, vectors, tpch, studies, timeseries, inference)
 
 
 def queries() -> dict:

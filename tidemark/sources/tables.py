@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +14,17 @@ from pyspark.sql import types as T
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); only a session in a single process may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+
+
 class Tables:
     """The tables of one folder, read when they are asked for: ``Tables(spark, path).orders``."""
 
@@ -36,6 +50,11 @@ def zero_table(spark: SparkSession, names: Sequence[str], rows: int) -> DataFram
     return spark.range(rows).select(*[F.lit(0).cast("long").alias(n) for n in names])
 
 
+def counter_table(spark: SparkSession, name: str, rows: int, start: int = 0) -> DataFrame:
+    """Whole numbers one after another."""
+    return spark.range(start, start + rows).select(F.col("id").alias(name))
+
+
 def random_table(spark: SparkSession, ranges: dict[str, tuple[int, int]], rows: int, seed: int = 0) -> DataFrame:
     """Uniform whole numbers, each column in [low, high)."""
     return spark.range(rows).select(*[(F.floor(F.rand(seed + i) * (hi - lo)) + lo).cast("long").alias(n) for i, (n, (lo, hi)) in enumerate(ranges.items())])
