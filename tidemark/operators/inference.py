@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -94,6 +94,73 @@ def apply_model(df: DataFrame, keys: Sequence[str], column: str, model: Model, s
     return rows.mapInPandas(run, schema)
 
 
+def _conv(inputs: int, outputs: int, size: int, weight: Callable[[int], np.ndarray], **how: int) -> Conv2D:
+    return Conv2D(weight(size * size * inputs * outputs).reshape(size, size, inputs, outputs), **how)
+
+
+#: Output channels of the convolutions and outputs of the dense layers of the model for 32 x 32 images.
+ALEXNET = (96, 256, 384, 384, 256), (256, 256, 10)
+#: Output channels of the convolutions in each block, and outputs of the dense layers for 32 x 32 and for 224 x 224 images.
+VGG16 = ((64, 64), (128, 128), (256, 256, 256), (512, 512, 512), (512, 512, 512))
+VGG16_DENSE = {32: (256, 256, 10), 224: (4096, 4096, 1000)}
+
+
+def alexnet(weight: Callable[[int], np.ndarray], share: int = 1, channels: int = 3) -> Model:
+    """The model for 32 x 32 images; all inner widths are divided by ``share``, and ``weight(n)`` gives the next n weights."""
+    (a, *rest), dense = [max(1, w // share) for w in ALEXNET[0]], ALEXNET[1]
+    layers = [_conv(channels, a, 11, weight, stride=4, pad=9), AvgPool(3, 2), ReLU()]
+    layers += [_conv(a, rest[0], 5, weight, pad=1), AvgPool(2, 1), ReLU()]
+    for before, after in zip(rest, rest[1:]):
+        layers += [_conv(before, after, 3, weight, pad=1), ReLU()]
+    return Model(layers + _dense_layers(rest[-1], [*(max(1, w // share) for w in dense[:-1]), dense[-1]], weight))
+
+
+def vgg16(weight: Callable[[int], np.ndarray], share: int = 1, side: int = 32, channels: int = 3) -> Model:
+    """The model for ``side`` x ``side`` images, 32 or 224: five blocks of 3 x 3 convolutions, each halved by pooling, and dense layers."""
+    layers: list = []
+    for block in VGG16:
+        for width in block:
+            layers += [_conv(channels, max(1, width // share), 3, weight, pad=1), ReLU()]
+            channels = max(1, width // share)
+        layers.append(AvgPool(2, 2))
+    left = side >> len(VGG16)
+    if left > 1:  # the large model halves once more
+        layers, left = [*layers, AvgPool(2, 2)], left // 2
+    *inner, last = VGG16_DENSE[side]
+    return Model(layers + _dense_layers(channels * left**2, [*(max(1, w // share) for w in inner), last], weight))
+
+
+def _dense_layers(inputs: int, outputs: Sequence[int], weight: Callable[[int], np.ndarray]) -> list:
+    out: list = []
+    for n in outputs:
+        out += [FullyConnected(weight(inputs * n).reshape(inputs, n)), ReLU()]
+        inputs = n
+    return out
+
+
+def separate_channels(v: Column, channels: int) -> Column:
+    """From a pixel's channels one after another to a channel's pixels one after another."""
+    n = (F.size(v) / channels).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.get(v, (i % n) * channels + F.floor(i / n).cast("int")))
+
+
+def interleave_channels(v: Column, channels: int) -> Column:
+    """The way back."""
+    n = (F.size(v) / channels).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.get(v, (i % channels) * n + F.floor(i / channels).cast("int")))
+
+
+def reshape(m: DataFrame, columns: int, new_columns: int) -> DataFrame:
+    """A matrix of (i, j, v) rows and ``columns`` columns with another number of columns, read row by row."""
+    at = f"(i * {columns} + j)"
+    return m.select(F.expr(f"{at} div {new_columns}").alias("i"), F.expr(f"{at} % {new_columns}").alias("j"), "v")
+
+
+def elementwise(a: DataFrame, b: DataFrame, combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """``combine`` of the values of two matrices of (i, j, v) rows at each place."""
+    return a.join(b.select("i", "j", F.col("v").alias("_w")), ["i", "j"]).select("i", "j", combine(F.col("v"), F.col("_w")).alias("v"))
+
+
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """Product of two matrices of (i, j, v) rows."""
     right = b.select(F.col("i").alias("k"), F.col("j").alias("col"), F.col("v").alias("w"))

@@ -67,15 +67,73 @@ def small_model() -> I.Model:
     return I.Model([I.Conv2D(filters, pad=1), I.ReLU(), I.AvgPool(2, 2), I.ReLU(), I.FullyConnected(_dense(3, 32))])
 
 
-@G.add()
+@G.add(f"""WITH {_FIXED},
+a AS (SELECT vec_id, list_transform(range(128), lambda q: greatest(CAST(list_sum(list_transform(range(9), lambda k: CASE WHEN q // 16 + k // 3 BETWEEN 1 AND 8 AND (q // 2) % 8 + k % 3 BETWEEN 1 AND 8 THEN v[(q // 16 + k // 3 - 1) * 8 + (q // 2) % 8 + k % 3] * ((k * 2 + q % 2) % 5 - 2) ELSE 0 END)) AS BIGINT), 0)) AS x FROM f),
+b AS (SELECT vec_id, list_transform(range(32), lambda q: CAST(floor((x[(q // 8) * 32 + (q // 2) % 4 * 4 + q % 2 + 1] + x[(q // 8) * 32 + (q // 2) % 4 * 4 + q % 2 + 3] + x[(q // 8) * 32 + (q // 2) % 4 * 4 + q % 2 + 17] + x[(q // 8) * 32 + (q // 2) % 4 * 4 + q % 2 + 19]) / 4) AS BIGINT)) AS x FROM a)
+SELECT vec_id, list_transform(range(3), lambda j: CAST(list_sum(list_transform(range(32), lambda i: x[i + 1] * ((3 * i + 5 * j) % 7 - 3))) AS BIGINT)) AS y FROM b""")
 def model_forward(t: Tables) -> DataFrame:
-    """Beyond SQL; tests compare it with loops in plain Python."""
     return I.apply_model(_vectors(t), ["vec_id"], "v", small_model(), (8, 8, 1), "y", "long")
 
 
+@G.add(f"WITH {_FIXED} SELECT vec_id, list_transform(range(16), lambda p: v[(p // 4) * 16 + (p % 4) * 2 + 1] + v[(p // 4) * 16 + (p % 4) * 2 + 2] + v[(p // 4) * 16 + (p % 4) * 2 + 9] + v[(p // 4) * 16 + (p % 4) * 2 + 10]) AS y FROM f")
+def sum_pool(t: Tables) -> DataFrame:
+    return I.apply_model(_vectors(t), ["vec_id"], "v", I.Model([I.AvgPool(2, 2, total=True)]), (8, 8, 1), "y", "long")
+
+
+@G.add(f"WITH {_FIXED} SELECT vec_id, list_transform(range(64), lambda i: v[(i % 16) * 4 + i // 16 + 1]) AS planes, v AS back FROM f")
+def channels(t: Tables) -> DataFrame:
+    """A 16-pixel image of four channels, channel by channel, and back."""
+    planes = _vectors(t).select("vec_id", I.separate_channels(c("v"), 4).alias("planes"))
+    return planes.select("vec_id", "planes", I.interleave_channels(c("planes"), 4).alias("back"))
+
+
+@G.add(f"WITH {_FIXED}, e AS (SELECT vec_id * 64 + j AS at_, v[j + 1] AS v FROM f, range(64) AS u(j)) SELECT at_ // 48 AS i, at_ % 48 AS j, v FROM e")
+def matrix_reshape(t: Tables) -> DataFrame:
+    rows = _vectors(t).select(c("vec_id").alias("i"), F.posexplode("v").alias("j", "v"))
+    return I.reshape(rows.withColumn("j", c("j").cast("long")), 64, 48)
+
+
+@G.add(f"WITH {_FIXED} SELECT a.vec_id AS i, CAST(j AS BIGINT) AS j, a.v[j + 1] * 3 - (j - a.vec_id) AS v FROM f a, range(64) AS u(j)")
+def matrix_elementwise(t: Tables) -> DataFrame:
+    """Three times a matrix less another."""
+    a = _vectors(t).select(c("vec_id").alias("i"), F.posexplode("v").alias("j", "v")).withColumn("j", c("j").cast("long"))
+    return I.elementwise(a, a.select("i", "j", (c("j") - c("i")).alias("v")), lambda x, y: x * 3 - y)
+
+
+def _rule(seed: int):
+    """Small whole weights one after another."""
+    at = 0
+
+    def take(n: int) -> np.ndarray:
+        nonlocal at
+        out = (np.arange(at, at + n, dtype=np.int64) * (seed + 2) + seed) % 5 - 2
+        at += n
+        return out
+
+    return take
+
+
+def _images(t: Tables, side: int = 32) -> DataFrame:
+    """Embeddings repeated to images of three channels, in small whole numbers."""
+    pixel = F.transform("embedding", lambda x: F.floor(x.cast("double") * 8).cast("long"))
+    return t.embeddings.select("vec_id", F.flatten(F.array_repeat(pixel, side * side * 3 // 64)).alias("v"))
+
+
+@G.add()
+def alexnet_forward(t: Tables) -> DataFrame:
+    """Inner widths by 16. Beyond SQL; a test compares the layers with loops in plain Python."""
+    return I.apply_model(_images(t), ["vec_id"], "v", I.alexnet(_rule(1), 16), (32, 32, 3), "y", "long")
+
+
+@G.add()
+def vgg16_forward(t: Tables) -> DataFrame:
+    """Inner widths by 64. Beyond SQL; a test compares the layers with loops in plain Python."""
+    return I.apply_model(_images(t), ["vec_id"], "v", I.vgg16(_rule(2), 64), (32, 32, 3), "y", "long")
+
+
 @G.add(f"""WITH {_FIXED}, p AS (SELECT vec_id AS user_id, list_transform(range(3), lambda j: greatest(CAST(list_sum(list_transform(range(64), lambda k: v[k + 1] * ((3 * k + 5 * j) % 7 - 3))) AS BIGINT), 0)) AS y FROM f),
-a AS (SELECT *, amount > 10000 AS above, coalesce(lag(amount > 10000) OVER (PARTITION BY user_id ORDER BY t), false) AS before FROM happenings),
-s AS (SELECT DISTINCT user_id, max(CASE WHEN above AND NOT before THEN t END) OVER (PARTITION BY user_id ORDER BY t) AS session, above FROM a),
+a AS (SELECT *, amount > 10000 AS above, coalesce(lag(amount > 10000) OVER (PARTITION BY user_id ORDER BY t, amount), false) AS before FROM happenings),
+s AS (SELECT DISTINCT user_id, max(CASE WHEN above AND NOT before THEN t END) OVER (PARTITION BY user_id ORDER BY t, amount) AS session, above FROM a),
 n AS (SELECT user_id, count(*) AS sessions FROM s WHERE above GROUP BY ALL),
 j AS (SELECT label, sessions, y FROM n JOIN p USING (user_id) JOIN embeddings ON vec_id = user_id)
 SELECT CAST(label AS BIGINT) AS label, count(*) AS patients, CAST(sum(CASE WHEN y[1] > 655360 THEN sessions ELSE 0 END) // greatest(sum(CASE WHEN y[1] > 655360 THEN 1 ELSE 0 END), 1) AS BIGINT) AS first, CAST(sum(CASE WHEN y[2] > 655360 THEN sessions ELSE 0 END) // greatest(sum(CASE WHEN y[2] > 655360 THEN 1 ELSE 0 END), 1) AS BIGINT) AS second,
