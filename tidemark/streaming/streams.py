@@ -18,8 +18,11 @@ def tumbling_stream(stream: DataFrame, time: str, size_s: int, keys: Sequence[st
 
 
 def gap_stream(stream: DataFrame, time: str, gap_s: int, keys: Sequence[str], aggs: Sequence, late: str = "1 minute") -> DataFrame:
-    """Per session and key; ``session_id`` is the second of its first row. The session closes when the watermark passes it."""
-    window = F.session_window(time, f"{gap_s} seconds")
+    """Per session and key; ``session_id`` is the second of its first row. The session closes when the watermark passes it.
+
+    As in a table, only a distance of *more* than the gap opens a session, so the window reaches a microsecond beyond it.
+    """
+    window = F.session_window(time, f"{gap_s} seconds 1 microsecond")
     out = stream.withWatermark(time, late).groupBy(window.alias("w"), *keys).agg(*aggs)
     return out.withColumn("session_id", F.unix_seconds("w.start")).drop("w")
 
@@ -34,10 +37,10 @@ def threshold_stream(stream: DataFrame, key: str, value: str, time: str, thresho
     kind = dict(stream.dtypes)[key]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, opened, n, total = state.get if state.exists else ([], -1.0, 0, 0.0)
-        rows = [tuple(x) for x in waiting]
+        times, values, opened, n, total = state.get if state.exists else ([], [], -1, 0, 0.0)
+        rows = list(zip(times, values))
         for pdf in batches:
-            rows += zip((pdf["_t"]).tolist(), pdf["_v"].tolist())
+            rows += zip(pdf["_t"].tolist(), pdf["_v"].tolist())
         upto = state.getCurrentWatermarkMs() * 1000
         rows.sort()
         done = []
@@ -47,14 +50,14 @@ def threshold_stream(stream: DataFrame, key: str, value: str, time: str, thresho
                 opened, n, total = (t if opened < 0 else opened), n + 1, total + v
             elif opened >= 0:
                 done.append((*k, opened, n, total))
-                opened, n, total = -1.0, 0, 0.0
-        state.update(([list(r) for r in keep], opened, n, total))
+                opened, n, total = -1, 0, 0.0
+        state.update(([t for t, _ in keep], [v for _, v in keep], opened, n, total))
         if keep:
             state.setTimeoutTimestamp(max(keep[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(done, columns=[key, "session_id", "n_rows", "total"])
 
-    rows = stream.withWatermark(time, late).select(key, time, F.unix_micros(F.col(time).cast("timestamp")).cast("double").alias("_t"), F.col(value).cast("double").alias("_v"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, session_id long, n_rows long, total double", "waiting array<array<double>>, opened double, n long, total double", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = stream.withWatermark(time, late).select(key, time, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.col(value).cast("double").alias("_v"))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, session_id long, n_rows long, total double", "times array<long>, values array<double>, opened long, n long, total double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, spark: SparkSession, folder: str) -> DataFrame:

@@ -26,9 +26,9 @@ def gap_session(df: DataFrame, keys: Sequence[str], time: str, gap: int, out: st
 def threshold_session(df: DataFrame, keys: Sequence[str], value: str | Column, time: str, threshold: int, out: str, marked: bool = True) -> DataFrame:
     """Runs of consecutive rows of a key with ``value`` over ``threshold``; ``out`` is the run's first time, -1 for other rows.
 
-    With ``marked`` only rows of runs stay.
+    Of rows at one time the lower value comes first. With ``marked`` only rows of runs stay.
     """
-    w = Window.partitionBy(*keys).orderBy(time)
+    w = Window.partitionBy(*keys).orderBy(time, value)
     above = (F.col(value) if isinstance(value, str) else value) > threshold
     df = df.withColumn("_above", F.coalesce(above, F.lit(False)))
     opens = F.when(F.col("_above") & ~F.coalesce(F.lag("_above").over(w), F.lit(False)), F.col(time))
