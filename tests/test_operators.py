@@ -8,6 +8,7 @@ from tidemark.functions import scalar as S
 from tidemark.operators import aggregates as A
 from tidemark.operators import inference as I
 from tidemark.operators import joins as J
+from tidemark.operators import order as O
 from tidemark.operators import table as R
 from tidemark.sources.tables import from_columns, masked, random_table, read_column, read_csv, write_column, zero_table
 from tidemark.sources.weights import encode_weights, read_weights
@@ -20,12 +21,15 @@ def got(df, *names):
 
 @pytest.fixture()
 def halves(spark):
-    return from_columns(spark, {"k": [1, 1, 1, 1, 0, 0, 0, 0], "v": list(range(1, 9))})
+    """Two keys that take turns, values in hundreds."""
+    return from_columns(spark, {"k": [7, 3, 7, 3, 7, 3], "v": [100, 200, 300, 400, 500, 900]})
 
 
 def test_distinct_flag(spark):
-    df = from_columns(spark, {"i": list(range(7)), "a": [0, 0, 0, 1, 1, 1, 2], "b": [0, 0, 1, 1, 1, 0, 2]})
-    for keys, want in ((["a"], [1, 0, 0, 1, 0, 0, 1]), (["b"], [1, 0, 1, 0, 0, 1, 1]), (["a", "b"], [1, 0, 1, 1, 0, 1, 1])):
+    colours, sizes = [4, 4, 9, 9, 9, 4], [1, 2, 2, 2, 1, 1]
+    df = from_columns(spark, {"i": list(range(6)), "colour": colours, "size": sizes})
+    for keys, of in ((["colour"], colours), (["size"], sizes), (["colour", "size"], list(zip(colours, sizes)))):
+        want = [1] + [int(x != y) for x, y in zip(of, of[1:])]
         assert [r.x for r in R.distinct_flag(df, keys, ["i"], "x").orderBy("i").collect()] == want
 
 
@@ -43,14 +47,14 @@ def test_distinct_flag_of_a_whole_table_is_made_in_blocks(spark):
 
 def test_group_aggregates(halves):
     out = A.aggregate(halves, ["k"], [("v", "s", "sum"), ("v", "n", "count"), ("v", "lo", "min"), ("v", "hi", "max")])
-    assert got(out) == [(0, 26, 4, 5, 8), (1, 10, 4, 1, 4)]
+    assert got(out) == [(3, 1500, 3, 200, 900), (7, 900, 3, 100, 500)]
 
 
 def test_running_both_ways(halves):
     out = A.running(halves, ["k"], ["v"], [("v", "s", "sum")])
-    assert [r.s for r in out.orderBy("v").collect()] == [1, 3, 6, 10, 5, 11, 18, 26]
+    assert [r.s for r in out.orderBy("k", "v").collect()] == [200, 600, 1500, 100, 400, 900]
     out = A.running(halves, ["k"], ["v"], [("v", "s", "sum")], reverse=True)
-    assert [r.s for r in out.orderBy("v").collect()] == [10, 9, 7, 4, 26, 21, 15, 8]
+    assert [r.s for r in out.orderBy("k", "v").collect()] == [1500, 1300, 900, 900, 800, 500]
 
 
 @pytest.mark.parametrize("reverse", [False, True])
@@ -62,16 +66,23 @@ def test_prefix_sum_over_blocks(spark, reverse):
 
 
 def test_windows(halves):
-    assert [r.w for r in windows.tumbling(halves, "v", 2, "w").orderBy("v").collect()] == [0, 1, 1, 2, 2, 3, 3, 4]
-    assert got(windows.gap_session(halves, ["k"], "v", 2, "w"), "k", "w") == [(0, 5)] * 4 + [(1, 1)] * 4
-    out = windows.threshold_session(halves, ["k"], "v", "v", 3, "w", marked=False)
-    assert [r.w for r in out.orderBy("v").collect()] == [-1, -1, -1, 4, 5, 5, 5, 5]
-    assert windows.threshold_session(halves, ["k"], "v", "v", 3, "w").count() == 5
+    assert [r.w for r in windows.tumbling(halves, "v", 250, "w").orderBy("v").collect()] == [0, 0, 1, 1, 2, 3]
+    assert got(windows.gap_session(halves, ["k"], "v", 200, "w"), "k", "w") == [(3, 200)] * 2 + [(3, 900)] + [(7, 100)] * 3
+    out = windows.threshold_session(halves, ["k"], "v", "v", 250, "w", marked=False)
+    assert [r.w for r in out.orderBy("v").collect()] == [-1, -1, 300, 400, 300, 400]
+    assert windows.threshold_session(halves, ["k"], "v", "v", 250, "w").count() == 4
 
 
 def test_gap_opens_only_beyond(spark):
-    df = from_columns(spark, {"k": [1] * 4 + [2] * 4, "t": [1, 2, 50, 60, 3, 13, 60, 71]})
-    assert [r.s for r in windows.gap_session(df, ["k"], "t", 10, "s").orderBy("k", "t").collect()] == [1, 1, 50, 50, 3, 3, 60, 71]
+    df = from_columns(spark, {"k": [5, 5, 5, 6, 6], "t": [20, 45, 71, 20, 46]})
+    assert [r.s for r in windows.gap_session(df, ["k"], "t", 25, "s").orderBy("k", "t").collect()] == [20, 20, 71, 20, 46]
+
+
+def test_rows_at_one_time_have_an_order(spark):
+    df = from_columns(spark, {"k": [1] * 4, "t": [10, 10, 20, 20], "v": [50, 5, 60, 6]})
+    for rows in (df, df.orderBy("v"), df.orderBy(F.desc("v"))):
+        out = windows.threshold_session(rows, ["k"], "v", "t", 9, "s", marked=False)
+        assert got(out, "t", "v", "s") == [(10, 5, -1), (10, 50, 10), (20, 6, -1), (20, 60, 20)]
 
 
 def test_integer_division(spark):
@@ -80,56 +91,69 @@ def test_integer_division(spark):
 
 
 def test_most_common(spark):
-    values = [0] + [1] * 6 + [2] * 3 + [3] * 6 + [5] * 2 + [6] + [7] * 12
-    df = from_columns(spark, {"v": values})
-    assert A.most_common(df, "v").first().value == 7
-    assert A.most_common(df, "v", 5).first().value == 3
-    assert A.most_common(from_columns(spark, {"v": [3, 8, 8]}), "v", 10).first().value == 8
+    votes = from_columns(spark, {"v": [12] * 4 + [9] * 5 + [2] * 5 + [0] * 3 + [40] * 6})
+    assert A.most_common(votes, "v").first().value == 40
+    assert A.most_common(votes, "v", 13).first().value == 9  # as often as 2, and larger
+    assert A.most_common(votes, "v", 1000).first().value == 40
 
 
-def test_join_count_on_one_and_two_keys(spark):
-    left = from_columns(spark, {"a": [1, 1, 2, 3, 4], "b": [1, 2, 4, 6, 7]})
-    right = from_columns(spark, {"a": [1, 1, 1, 3, 4, 4, 1, 1, 4, 5], "b": [2, 1, 1, 6, 7, 7, 1, 2, 7, 8]})
-    assert got(J.inner_join(left, right, ["a", "b"], specs=[("a", "n", "count")])) == [(1, 1, 3), (1, 2, 2), (3, 6, 1), (4, 7, 3)]
+@pytest.fixture()
+def shop(spark):
+    """Customers (one of them, 50, without a sale) and sales (one by 80, who is no customer)."""
+    customers = from_columns(spark, {"who": [20, 30, 50], "town": [1, 2, 3]})
+    return customers, from_columns(spark, {"who": [20, 30, 20, 80, 30, 20], "paid": [5, 7, 6, 9, 8, 4]})
 
 
-def test_inner_join_of_valid_rows(spark):
-    p = from_columns(spark, {"k": [1, 2, 3, 4], "ok": [1, 0, 1, 0]}).filter("ok = 1")
-    f = from_columns(spark, {"k": [1, 1, 1, 2, 3, 3, 3, 3, 5, 5, 1], "d": [10, 20, 30, 35, 40, 50, 60, 65, 70, 80, 32], "ok": [1, 1, 0, 1, 1, 0, 0, 1, 1, 0, 1]}).filter("ok = 1")
-    assert got(J.inner_join(p, f, ["k"]), "d") == [(10,), (20,), (32,), (40,), (65,)]
+def test_inner_join_copies_and_counts(shop):
+    customers, sales = shop
+    assert got(J.inner_join(customers, sales, ["who"], ["town"]), "paid", "town") == [(4, 1), (5, 1), (6, 1), (7, 2), (8, 2)]
+    assert got(J.inner_join(customers, sales, ["who"], ["town"], [("paid", "n", "count"), ("paid", "total", "sum")])) == [(20, 1, 3, 15), (30, 2, 2, 15)]
+    assert got(J.inner_join(customers.filter("town <> 1"), sales.filter("paid < 8"), ["who"]), "paid") == [(7,)]
 
 
-def test_copy(spark):
-    left, right = from_columns(spark, {"u": [1, 2], "zip": [12345, 67890]}), from_columns(spark, {"u": [2, 2], "amount": [40, -60]})
-    assert got(J.inner_join(left, right, ["u"], ["zip"]), "amount", "zip") == [(-60, 67890), (40, 67890)]
+def test_join_on_two_keys(spark):
+    prices = from_columns(spark, {"part": [1, 1, 2], "shop": [8, 9, 8]})
+    orders = from_columns(spark, {"part": [1, 2, 1, 1, 2], "shop": [9, 8, 9, 8, 9]})
+    assert got(J.inner_join(prices, orders, ["part", "shop"], specs=[("part", "n", "count")])) == [(1, 8, 1), (1, 9, 2), (2, 8, 1)]
 
 
-@pytest.fixture()
-def two(spark):
-    t1 = from_columns(spark, {"k": [111, 222, 222, 333, 444, 444, 999], "d": [100, 200, 201, 300, 400, 402, 900], "a": [-1, -2, -2, -3, -4, -7, -5]})
-    return t1, from_columns(spark, {"k": [222, 999, 666, 333], "d2": [1, 2, 3, 4]})
+def test_outer_joins(shop):
+    customers, sales = shop
+    assert got(J.left_outer_join(customers, sales, ["who"], ["town"]), "who", "town", "paid") == [(20, 1, 4), (20, 1, 5), (20, 1, 6), (30, 2, 7), (30, 2, 8), (50, 3, 0)]
+    assert got(J.right_outer_join(customers, sales, ["who"], ["town"]), "paid", "town") == [(4, 1), (5, 1), (6, 1), (7, 2), (8, 2), (9, 0)]
+    assert J.full_outer_union(customers, sales, ["who"], ["town"]).count() == customers.count() + sales.count()
+    assert got(J.full_outer_join(customers, sales, ["who"]), "who", "town", "paid")[-2:] == [(50, 3, 0), (80, 0, 9)]
 
 
-def test_outer_joins(two):
-    t1, t2 = two
-    assert got(J.left_outer_join(t2, t1, ["k"], ["d2"]), "k", "d2", "d", "a") == [(222, 1, 200, -2), (222, 1, 201, -2), (333, 4, 300, -3), (666, 3, 0, 0), (999, 2, 900, -5)]
-    assert got(J.right_outer_join(t2, t1, ["k"], ["d2"]), "d", "d2") == [(100, 0), (200, 1), (201, 1), (300, 4), (400, 0), (402, 0), (900, 2)]
-    assert J.full_outer_union(t2, t1, ["k"], ["d2"]).count() == 11
-    assert J.full_outer_join(t2, t1, ["k"]).count() == 8
+def test_outer_joins_keep_the_nulls_of_matched_rows(spark):
+    left = spark.createDataFrame([(1, 5), (2, None), (3, 7)], "k long, a long")
+    right = spark.createDataFrame([(1, None), (2, 8), (4, 9)], "k long, b long")
+    rows = lambda df: sorted(map(tuple, df.select("k", "a", "b").collect()), key=repr)
+    assert rows(J.left_outer_join(left, right, ["k"], ["a"])) == [(1, 5, None), (2, None, 8), (3, 7, 0)]
+    assert rows(J.right_outer_join(left, right, ["k"], ["a"])) == [(1, 5, None), (2, None, 8), (4, 0, 9)]
+    assert rows(J.full_outer_join(left, right, ["k"])) == [(1, 5, None), (2, None, 8), (3, 7, 0), (4, 0, 9)]
+    assert rows(J.full_outer_union(left, right, ["k"], ["a"])) == [(1, 5, 0), (1, 5, None), (2, None, 0), (2, None, 8), (3, 7, 0), (4, 0, 9)]
 
 
-def test_semi_and_anti(two):
-    t1, t2 = two
-    assert got(J.semi_join(t1, t2, ["k"]), "d") == [(200,), (201,), (300,), (900,)]
-    assert got(J.anti_join(t1, t2, ["k"]), "d") == [(100,), (400,), (402,)]
+def test_a_join_without_keys_needs_one_row(spark):
+    rows = from_columns(spark, {"x": [1, 2]})
+    assert got(J.inner_join(from_columns(spark, {"mean": [9]}), rows, [], ["mean"])) == [(1, 9), (2, 9)]
+    with pytest.raises(Exception, match="one row"):
+        J.inner_join(from_columns(spark, {"mean": [9, 9]}), rows, [], ["mean"]).collect()
+
+
+def test_semi_and_anti(shop):
+    customers, sales = shop
+    assert got(J.semi_join(sales, customers, ["who"]), "paid") == [(4,), (5,), (6,), (7,), (8,)]
+    assert got(J.anti_join(sales, customers, ["who"]), "paid") == [(9,)]
+    assert got(J.anti_join(customers, sales, ["who"]), "who") == [(50,)]
 
 
 def test_unique_join(spark):
-    a = from_columns(spark, {"k": [1, 2, 4, 6, 7, 9, 10, 11, 13, 15]})
-    b = from_columns(spark, {"k": [2, 3, 4, 5, 6, 9, 12, 14], "b": [111, 222, 333, 444, 555, 888, 777, 999]})
-    assert got(J.unique_join(a, b, ["k"], check=True)) == [(2, 111), (4, 333), (6, 555), (9, 888)]
+    doors, keys = from_columns(spark, {"k": list(range(0, 40, 3))}), from_columns(spark, {"k": list(range(0, 40, 4)), "metal": list(range(10))})
+    assert got(J.unique_join(doors, keys, ["k"], check=True)) == [(0, 0), (12, 3), (24, 6), (36, 9)]
     with pytest.raises(ValueError, match="not unique"):
-        J.unique_join(a.union(a), b, ["k"], check=True)
+        J.unique_join(doors, keys.union(keys), ["k"], check=True)
 
 
 def test_first_per_key_makes_a_key_side(spark):
@@ -148,6 +172,38 @@ def test_table_chain(spark):
         R.Table(df).rename("nothing", "x")
 
 
+def test_deep_cuts_are_made_on_numbered_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "GATHER", 50)
+    r = np.random.default_rng(6)
+    values = r.permutation(1000).tolist()
+    df = from_columns(spark, {"a": [v // 10 for v in values], "b": values}).repartition(5)
+    order = [("a", False), ("b", True)]
+    want = sorted(values, key=lambda v: (-(v // 10), v))
+    assert [x.b for x in R.cut(df, order, 700, 720).collect()] == want[700:720]
+    assert [x.b for x in R.head(df, order, 300).collect()] == want[:300]
+    assert [x.b for x in R.tail(df, order, 300).collect()] == want[-300:]
+
+
+def test_distinct_takes_the_first_in_order(spark):
+    df = from_columns(spark, {"k": [1, 1, 2], "o": [5, 3, 9], "x": [10, 20, 30]})
+    assert got(R.distinct(df, ["k"], ["o"])) == [(1, 3, 20), (2, 9, 30)]
+
+
+def test_permutations(spark):
+    r = np.random.default_rng(7)
+    p, q, values = r.permutation(30), r.permutation(30), r.integers(0, 99, 30)
+    table = lambda x, name: from_columns(spark, {"place": list(range(30)), name: x.tolist()})
+    rows = table(values, "v")
+    moved = np.empty(30, int)
+    moved[p] = values
+    assert [x.v for x in O.apply_permutation(rows, table(p, "target")).orderBy("place").collect()] == moved.tolist()
+    back = O.apply_permutation(O.apply_permutation(rows, table(p, "target")), O.invert(table(p, "target")))
+    assert got(back) == got(rows)
+    both = O.compose(table(p, "target"), table(q, "target"))
+    one_by_one = O.apply_permutation(O.apply_permutation(rows, table(p, "target")), table(q, "target"))
+    assert got(O.apply_permutation(rows, both)) == got(one_by_one)
+
+
 def test_concatenate_fills_with_zero(spark):
     a, b = from_columns(spark, {"x": [1], "y": [2]}), from_columns(spark, {"x": [3], "z": [4]})
     assert got(R.concatenate(a, b, "side"), "x", "y", "z", "side") == [(1, 2, 0, 0), (3, 0, 4, 1)]
@@ -198,6 +254,35 @@ def conv_by_hand(x, f, stride, pad):
     return out
 
 
+def forward_by_hand(model, x):
+    """One image through a model, layer by layer in loops."""
+    for layer in model.layers:
+        if isinstance(layer, I.Conv2D):
+            x = conv_by_hand(x, layer.filters, layer.stride, layer.pad)
+        elif isinstance(layer, I.AvgPool):
+            n, m = ((size - layer.size) // layer.stride + 1 for size in x.shape[:2])
+            s = layer.stride
+            x = np.stack([np.stack([x[i * s : i * s + layer.size, j * s : j * s + layer.size].sum(axis=(0, 1)) // layer.size**2 for j in range(m)]) for i in range(n)])
+        else:
+            x = np.maximum(x, 0) if isinstance(layer, I.ReLU) else x.reshape(-1) @ layer.weights
+    return x
+
+
+@pytest.mark.parametrize("make", [lambda w: I.alexnet(w, 32), lambda w: I.vgg16(w, 64)])
+def test_image_models(make):
+    r = np.random.default_rng(8)
+    model = make(lambda n: r.integers(-2, 3, n))
+    x = r.integers(0, 9, (2, 32, 32, 3))
+    out = model.forward(x)
+    assert out.shape == (2, 10) and (out == np.stack([forward_by_hand(model, y) for y in x])).all()
+
+
+def test_the_large_model_fits_its_dense_layers():
+    model = I.vgg16(lambda n: np.ones(n, np.int8), 64, 224)
+    assert [x.weights.shape for x in model.layers if isinstance(x, I.FullyConnected)] == [(72, 64), (64, 64), (64, 1000)]
+    assert I.vgg16(lambda n: np.ones(n, np.int8), 1, 32).layers[-6].weights.shape == (512, 256)
+
+
 @pytest.mark.parametrize(("stride", "pad"), [(1, 0), (1, 1), (2, 1)])
 def test_layers(stride, pad):
     r = np.random.default_rng(2)

@@ -40,18 +40,21 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], s
     return df.withColumns({out: FUNCTIONS[fn](F.col(c)).over(w) for c, out, fn in specs})
 
 
-def prefix_sum(df: DataFrame, order: str, value: str, out: str, block: int = 4096, reverse: bool = False) -> DataFrame:
+def prefix_sum(df: DataFrame, order: str, value: str, out: str, block: int = 4096, reverse: bool = False, levels: int = 2) -> DataFrame:
     """Sum of ``value`` over all rows up to here by the whole number ``order`` (unique), or from here on.
 
-    Rows are summed in blocks of the order first; only the blocks' sums go through one task, so the
-    table itself never does.
+    Rows are summed in blocks of the order first, and these sums in blocks of blocks; only the sums of the last
+    of ``levels`` go through one task.
     """
-    df = df.withColumn("_block", idiv(F.col(order), block))
     end = (Window.currentRow, Window.unboundedFollowing) if reverse else (Window.unboundedPreceding, Window.currentRow)
-    sums = df.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    sums = sums.withColumn("_before", F.sum("_sum").over(Window.orderBy("_block").rowsBetween(*end)) - F.col("_sum")).drop("_sum")
-    inner = F.sum(value).over(Window.partitionBy("_block").orderBy(order).rowsBetween(*end))
-    return df.join(sums, "_block").withColumn(out, F.col("_before") + inner).drop("_block", "_before")
+    if not levels:
+        return df.withColumn(out, F.sum(value).over(Window.orderBy(order).rowsBetween(*end)))
+    at, own, before = f"_block{levels}", f"_sum{levels}", f"_before{levels}"
+    df = df.withColumn(at, idiv(F.col(order), block))
+    sums = prefix_sum(df.groupBy(at).agg(F.sum(value).alias(own)), at, own, before, block, reverse, levels - 1)
+    sums = sums.select(at, (F.col(before) - F.col(own)).alias(before))
+    inner = F.sum(value).over(Window.partitionBy(at).orderBy(order).rowsBetween(*end))
+    return df.join(sums, at).withColumn(out, F.col(before) + inner).drop(at, before)
 
 
 def most_common(df: DataFrame, column: str, classes: int | None = None) -> DataFrame:

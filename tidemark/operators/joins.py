@@ -25,32 +25,56 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
+def _only_row(left: DataFrame, copies: Sequence[str]) -> DataFrame:
+    """The row of a table of one; any other number of rows is an error when the plan runs."""
+    one = left.select(F.struct(*copies).alias("row")).limit(2).agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"))
+    return one.select(F.when(F.col("n") == 1, F.col("row")).otherwise(F.raise_error(F.lit("a join without keys needs one row on its left side"))).alias("row")).select("row.*")
+
+
 def inner_join(left: DataFrame, right: DataFrame, keys: Sequence[str], copies: Sequence[str] = (), specs: Sequence[Spec] = ()) -> DataFrame:
     """Detail rows with a match; with ``specs`` one row per key. Without keys every row gets the left side's only row."""
     taken = right.drop(*copies)
-    out = taken.join(_keyed(left, keys, copies), list(keys)) if keys else taken.crossJoin(F.broadcast(left.select(*copies).limit(1)))
+    out = taken.join(_keyed(left, keys, copies), list(keys)) if keys else taken.crossJoin(F.broadcast(_only_row(left, copies)))
     return aggregate(out, [*keys, *copies], specs) if specs else out
 
 
+def _zero_where(out: DataFrame, columns: Sequence[str], hit: str) -> DataFrame:
+    """Numbers of ``columns`` are 0 in rows without a match; a null of a matched row stays one."""
+    kinds = dict(out.dtypes)
+    numbers = [c for c in columns if kinds[c].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))]
+    return out.withColumns({c: F.when(F.col(hit).isNull(), F.lit(0).cast(kinds[c])).otherwise(F.col(c)) for c in numbers})
+
+
 def left_outer_join(left: DataFrame, right: DataFrame, keys: Sequence[str], copies: Sequence[str] = ()) -> DataFrame:
     """Matched pairs, and left rows without a match; numbers that are missing are 0."""
-    payload = [c for c in right.columns if c not in keys]
-    return _keyed(left, keys, copies).join(right.drop(*copies), list(keys), "left").na.fill(0, [c for c in payload if c not in copies])
+    payload = [c for c in right.columns if c not in keys and c not in copies]
+    out = _keyed(left, keys, copies).join(right.drop(*copies).withColumn("_hit", F.lit(1)), list(keys), "left")
+    return _zero_where(out, payload, "_hit").drop("_hit")
 
 
 def right_outer_join(left: DataFrame, right: DataFrame, keys: Sequence[str], copies: Sequence[str] = ()) -> DataFrame:
     """All detail rows; copies that are missing are 0."""
-    return right.drop(*copies).join(_keyed(left, keys, copies), list(keys), "left").na.fill(0, list(copies))
+    out = right.drop(*copies).join(_keyed(left, keys, copies).withColumn("_hit", F.lit(1)), list(keys), "left")
+    return _zero_where(out, copies, "_hit").drop("_hit")
 
 
 def full_outer_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """As in SQL, with 0 for missing numbers."""
-    return left.join(right, list(keys), "full").na.fill(0)
+    out = left.withColumn("_left", F.lit(1)).join(right.withColumn("_right", F.lit(1)), list(keys), "full")
+    out = _zero_where(out, [c for c in left.columns if c not in keys], "_left")
+    return _zero_where(out, [c for c in right.columns if c not in keys], "_right").drop("_left", "_right")
 
 
 def full_outer_union(left: DataFrame, right: DataFrame, keys: Sequence[str], copies: Sequence[str] = ()) -> DataFrame:
     """All detail rows as in a right outer join, and all left rows with zeros for the details."""
-    return right_outer_join(left, right, keys, copies).unionByName(left, allowMissingColumns=True).na.fill(0)
+    details, kinds = right_outer_join(left, right, keys, copies), {**dict(right.dtypes), **dict(left.dtypes)}
+    numbers = lambda c: not kinds[c].startswith(("string", "date", "timestamp", "binary", "boolean", "array", "map", "struct"))
+    names = [*details.columns, *[c for c in left.columns if c not in details.columns]]
+
+    def all_of(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c) if c in df.columns else F.lit(0 if numbers(c) else None).cast(kinds[c]).alias(c) for c in names])
+
+    return all_of(details).union(all_of(left))
 
 
 def semi_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -71,7 +95,11 @@ def unique_join(left: DataFrame, right: DataFrame, keys: Sequence[str], copies:
 
 
 def equi_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Every pair of rows with one key, many to many; of columns in both the left one stays."""
+    """Every pair of rows with one key, many to many; of columns in both the left one stays.
+
+    The result has as many rows of a key as the product of both sides': where only sums over the pairs are wanted, ``preaggregated_join``
+    makes them without the pairs.
+    """
     return left.join(right.drop(*[c for c in right.columns if c in left.columns and c != key]), key)
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates, joins
+from tidemark.sources.tables import scratch
 
 #: Blocks of a table's order, at most, that are looked at one by one.
 BLOCKS = 256
+#: Rows up to which a head or cut is gathered in one task.
+GATHER = 100_000
 
 
 def concatenate(a: DataFrame, b: DataFrame, table_id: str | None = None) -> DataFrame:
@@ -22,8 +25,9 @@ def concatenate(a: DataFrame, b: DataFrame, table_id: str | None = None) -> Data
     return out.na.fill(0, missing) if missing else out
 
 
-def distinct(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropDuplicates(list(keys))
+def distinct(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row for each combination of ``keys``: the first in ``order``, or any where there is none."""
+    return joins.first_per_key(df, keys, order).select(*df.columns) if order else df.dropDuplicates(list(keys))
 
 
 def distinct_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, within: Sequence[str] = ()) -> DataFrame:
@@ -54,8 +58,24 @@ def _turned(keys: Sequence[tuple[str, bool]]) -> list[tuple[str, bool]]:
     return [(c, not up) for c, up in keys]
 
 
+def numbered(df: DataFrame, keys: Sequence[tuple[str, bool]], out: str) -> DataFrame:
+    """Rows with their number in order, from 0, without one task that meets them all.
+
+    The sorted ranges are written with their places, their sizes are counted, and each place is moved by the ranges before.
+    """
+    path = scratch(df.sparkSession, "ranges")
+    sort(df, keys).withColumn(out, F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    part = F.shiftrightunsigned(F.col(out), 33)  # the id's upper bits are the range, the lower ones the place in it
+    sizes = rows.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")  # one row for each range
+    own = F.col(out).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("_range", part).join(F.broadcast(sizes), "_range").withColumn(out, F.col("_before") + own).select(*df.columns, out)
+
+
 def head(df: DataFrame, keys: Sequence[tuple[str, bool]], n: int) -> DataFrame:
-    return sort(df, keys).limit(n)
+    """The first ``n`` rows in order; up to GATHER rows are gathered, more are taken out of the sorted ranges."""
+    return sort(df, keys).limit(n) if n <= GATHER else cut(df, keys, 0, n)
 
 
 def tail(df: DataFrame, keys: Sequence[tuple[str, bool]], n: int) -> DataFrame:
@@ -63,8 +83,11 @@ def tail(df: DataFrame, keys: Sequence[tuple[str, bool]], n: int) -> DataFrame:
 
 
 def cut(df: DataFrame, keys: Sequence[tuple[str, bool]], begin: int, end: int) -> DataFrame:
-    """Rows begin to end (exclusive) in order; only the first ``end`` rows are ever gathered."""
-    return head(df, keys, end).offset(begin)
+    """Rows begin to end (exclusive) in order; the first ``end`` rows are gathered only if they are few, and a deep or wide cut is made on numbered rows."""
+    if end <= GATHER:
+        return sort(df, keys).limit(end).offset(begin)
+    rows = numbered(df, keys, "_row")
+    return sort(rows.filter((F.col("_row") >= begin) & (F.col("_row") < end)), [("_row", True)]).drop("_row")
 
 
 def shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
@@ -91,6 +114,10 @@ class Table:
     def project(self, names: Sequence[str]) -> Table:
         return self._with(self.df.select(*names))
 
+    def map_column(self, name: str, function: Callable, kind: str, *inputs: str) -> Table:
+        """``name`` from a function of numpy-backed pandas Series, in Arrow batches: for what no built-in function does."""
+        return self._with(self.df.withColumn(name, F.pandas_udf(function, kind)(*inputs)))
+
     def add_columns(self, names: Sequence[str]) -> Table:
         return self._with(self.df.withColumns({n: F.lit(0).cast("long") for n in names}))
 

@@ -10,20 +10,11 @@ from tidemark.operators import aggregates as A
 from tidemark.operators import joins as J
 from tidemark.operators import table as R
 from tidemark.plans.base import Group, goods, happenings, items, nations, offers, people, purchases, vendors
-from tidemark.sources.tables import Tables, read_csv, write_csv, zero_table
+from tidemark.sources.tables import Tables, read_csv, scratch, write_csv, zero_table
 
 G = Group()
 
 
-def _scratch(t: Tables, name: str) -> str:
-    """A folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
-
-
 # Scans, projections, filters
 
 
@@ -34,7 +25,7 @@ def scan_project(t: Tables) -> DataFrame:
 
 @G.add("SELECT * FROM nations")
 def csv_scan(t: Tables) -> DataFrame:
-    path = _scratch(t, "csv")
+    path = scratch(t.spark, "csv")
     write_csv(nations(t), path)
     return read_csv(t.spark, path, "n_nationkey long, n_name string, n_regionkey long")
 
