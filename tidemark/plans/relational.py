@@ -9,7 +9,7 @@ from tidemark.functions import scalar as S
 from tidemark.operators import aggregates as A
 from tidemark.operators import joins as J
 from tidemark.operators import table as R
-from tidemark.plans.base import Group, goods, happenings, items, nations, offers, people, purchases, vendors
+from tidemark.plans.base import Group, goods, happenings, items, nations, offers, people, purchases, raw, vendors
 from tidemark.sources.tables import Tables, read_csv, scratch, write_csv, zero_table
 
 G = Group()
@@ -37,13 +37,13 @@ def zero_rows(t: Tables) -> DataFrame:
 
 @G.add("SELECT l_orderkey, l_linenumber, qty, disc FROM items WHERE qty > 30 AND disc >= 5 OR l_returnflag = 'R'")
 def filter_and_or(t: Tables) -> DataFrame:
-    rows = items(t)
+    rows = items(t, (raw("l_quantity", 31) & raw("l_discount", 5, scale=100)) | (F.col("l_returnflag") == "R"))
     return rows.filter(((F.col("qty") > 30) & (F.col("disc") >= 5)) | (F.col("l_returnflag") == "R")).select("l_orderkey", "l_linenumber", "qty", "disc")
 
 
 @G.add("SELECT o_orderkey, total FROM purchases WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND total BETWEEN 5000000 AND 20000000")
 def filter_between_in(t: Tables) -> DataFrame:
-    return purchases(t).filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & F.col("total").between(5_000_000, 20_000_000)).select("o_orderkey", "total")
+    return purchases(t, raw("o_totalprice", 5_000_000, 20_000_000, 100)).filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & F.col("total").between(5_000_000, 20_000_000)).select("o_orderkey", "total")
 
 
 @G.add("SELECT c_custkey AS id, c_nationkey, balance, CAST(0 AS BIGINT) AS marked FROM people")
@@ -163,7 +163,7 @@ def anti_join(t: Tables) -> DataFrame:
 @G.add("SELECT a.o_orderkey, total, o_custkey FROM purchases a WHERE o_orderstatus = 'F' AND total > 5000000")
 def unique_join(t: Tables) -> DataFrame:
     left = purchases(t).filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
-    return J.unique_join(left, purchases(t).filter("total > 5000000").select("o_orderkey", "total"), ["o_orderkey"], ["o_custkey"])
+    return J.unique_join(left, purchases(t, raw("o_totalprice", 5_000_001, scale=100)).filter("total > 5000000").select("o_orderkey", "total"), ["o_orderkey"], ["o_custkey"])
 
 
 @G.add("SELECT n.n_nationkey AS k, c_custkey, s_suppkey FROM people c JOIN nations n ON c_nationkey = n_nationkey JOIN vendors s ON s_nationkey = n_nationkey")
@@ -218,7 +218,7 @@ def agg_copy_first(t: Tables) -> DataFrame:
 
 @G.add("SELECT CAST(sum(price * disc) AS BIGINT) AS total, count(*) AS n FROM items WHERE qty < 24")
 def agg_global(t: Tables) -> DataFrame:
-    rows = items(t).filter("qty < 24").withColumn("x", F.col("price") * F.col("disc"))
+    rows = items(t, raw("l_quantity", high=23)).filter("qty < 24").withColumn("x", F.col("price") * F.col("disc"))
     return A.aggregate(rows, [], [("x", "total", "sum"), ("x", "n", "count")])
 
 
@@ -274,7 +274,7 @@ def wage_bands(t: Tables) -> DataFrame:
 @G.add("""WITH m AS (SELECT o_custkey AS c_custkey, min(total) AS least FROM purchases WHERE total > 100000 GROUP BY ALL)
 SELECT c_nationkey, CAST(sum(least) // count(*) AS BIGINT) AS mean, count(*) AS n FROM people JOIN m USING (c_custkey) GROUP BY ALL""")
 def spend_by_nation(t: Tables) -> DataFrame:
-    least = A.aggregate(purchases(t).filter("total > 100000").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"], [("total", "least", "min")])
+    least = A.aggregate(purchases(t, raw("o_totalprice", 100_001, scale=100)).filter("total > 100000").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"], [("total", "least", "min")])
     rows = J.inner_join(people(t), least, ["c_custkey"], ["c_nationkey"])
     return A.aggregate(rows, ["c_nationkey"], [("least", "mean", "avg"), ("least", "n", "count")])
 

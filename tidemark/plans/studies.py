@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import flag, idiv
 from tidemark.operators import joins as J
-from tidemark.plans.base import Group, goods, happenings, items, nations, people, purchases, vendors
+from tidemark.plans.base import Group, goods, happenings, items, nations, people, purchases, raw, vendors
 from tidemark.sources.tables import Tables
 
 G = Group()
@@ -98,7 +98,7 @@ def split_q1_columns(t: Tables) -> DataFrame:
 @G.add("SELECT CAST(sum(price * disc) AS BIGINT) AS revenue FROM items WHERE disc BETWEEN 5 AND 7 AND qty < 24")
 def split_q6(t: Tables) -> DataFrame:
     mine = c("l_orderkey") % 2 == 0
-    rows = items(t).filter(c("disc").between(5, 7) & (c("qty") < 24))
+    rows = items(t, raw("l_discount", 5, 7, 100) & raw("l_quantity", high=23)).filter(c("disc").between(5, 7) & (c("qty") < 24))
     parts = [rows.filter(own).agg(F.sum(c("price") * c("disc")).alias("revenue")) for own in (mine, ~mine)]
     return parts[0].union(parts[1]).agg(F.sum("revenue").alias("revenue"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import flag, idiv
 from tidemark.operators import joins as J
-from tidemark.plans.base import Group, goods, items, nations, offers, people, purchases, regions, vendors
+from tidemark.plans.base import Group, goods, items, nations, offers, people, purchases, raw, regions, vendors
 from tidemark.sources.tables import Tables
 
 G = Group()
@@ -85,7 +85,7 @@ def tpch_q5(t: Tables) -> DataFrame:
 @G.add("SELECT CAST(sum(price * disc) AS BIGINT) AS revenue FROM items WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' AND disc BETWEEN 5 AND 7 AND qty < 24")
 def tpch_q6(t: Tables) -> DataFrame:
     when = (c("l_shipdate") >= date("1997-01-01")) & (c("l_shipdate") < date("1998-01-01"))
-    return items(t).filter(when & c("disc").between(5, 7) & (c("qty") < 24)).agg(F.sum(c("price") * c("disc")).alias("revenue"))
+    return items(t, raw("l_discount", 5, 7, 100) & raw("l_quantity", high=23)).filter(when & c("disc").between(5, 7) & (c("qty") < 24)).agg(F.sum(c("price") * c("disc")).alias("revenue"))
 
 
 @G.add("""SELECT a.n_name AS seller, b.n_name AS buyer, CAST(year(l_shipdate) AS BIGINT) AS y, CAST(sum(price * (100 - disc)) AS BIGINT) AS revenue FROM items JOIN purchases ON l_orderkey = o_orderkey JOIN people ON o_custkey = c_custkey JOIN vendors ON l_suppkey = s_suppkey
@@ -198,7 +198,7 @@ def tpch_q19(t: Tables) -> DataFrame:
     low = c("p_partkey").bitwiseAND(F.lit(3).cast("long"))
     part = lambda brand, bits, size: (c("p_brand") == brand) & (low == bits) & c("p_size").between(1, size)
     a, b, d = part("Brand#5", 0, 15), part("Brand#12", 1, 25), part("Brand#24", 2, 35)
-    rows = items(t).join(goods(t).filter(a | b | d), c("l_partkey") == c("p_partkey"))
+    rows = items(t, raw("l_quantity", 1, 30)).join(goods(t).filter(a | b | d), c("l_partkey") == c("p_partkey"))
     rows = rows.filter((a & c("qty").between(1, 11)) | (b & c("qty").between(10, 20)) | (d & c("qty").between(20, 30)))
     return rows.agg(F.coalesce(F.sum(net()), F.lit(0)).alias("revenue"))
 
