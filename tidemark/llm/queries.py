@@ -6,7 +6,7 @@ from tidemark.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from tidemark.llm.language_id import op10_language_id
 from tidemark.llm.mixing import OP3_SQL, op3_mix_sources
 from tidemark.llm.ngram_jaccard import op2_ngram_jaccard
-from tidemark.llm.private_data import op5_private_data
+from tidemark.llm.private_data import OP5_SQL, op5_private_data
 from tidemark.llm.substring_dedup import OP1_SQL, op1_sentence_runs
 from tidemark.llm.suffix_dedup import op7_suffix_dedup
 from tidemark.llm.token_files import op8_token_files
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }
-SQL = {"op6_chat_rotation": OP6_SQL, "op3_mix_sources": OP3_SQL, "op4_decontaminate": OP4_SQL, "op1_sentence_runs": OP1_SQL, "op9_exact_dedup": OP9_SQL}
+SQL = {"op5_private_data": OP5_SQL, "op6_chat_rotation": OP6_SQL, "op3_mix_sources": OP3_SQL, "op4_decontaminate": OP4_SQL, "op1_sentence_runs": OP1_SQL, "op9_exact_dedup": OP9_SQL}
