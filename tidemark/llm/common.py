@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -78,6 +80,13 @@ def text_chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iter
         lo = hi
 
 
+def release_memory() -> None:
+    """Gives what a worker has freed back to the system; its heap would else stay as large as its largest task has made it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Characters in all texts; sizes the number of buckets."""
     return docs.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import unused
+from tidemark.llm.common import release_memory, unused
 
 #: The share of a document's block sizes by which the second language must be larger.
 MIN_MARGIN = 0.002
@@ -36,8 +36,8 @@ def fit_dictionaries(docs: DataFrame, slots: int = SLOTS, piece: int = PIECE, la
     return {lang: b" ".join(pieces) for lang, pieces in out.items()}
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MIN_MARGIN, column: str = "text") -> DataFrame:
-    """Adds lang_pred, score (0 to 1) and rejected to ``docs``; input columns of these names are replaced, no other column but ``column`` is read.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MIN_MARGIN, column: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Adds lang_pred, score (0 to 1) and rejected, or other ``names``, to ``docs``; input columns of these names are replaced, no other column but ``column`` is read.
 
     Texts are compared in lower case with single spaces. The language whose dictionary makes all
     blocks of the whole text smallest wins; its score is the share by which the next language's blocks are
@@ -68,11 +68,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MI
 
         for s in batches:
             yield pd.DataFrame([one(x) for x in s], columns=["lang_pred", "score", "rejected"])
+        release_memory()
 
     # not deterministic only in name: otherwise a filter on the result would make Spark compress every text twice
     told, at = F.pandas_udf(tell, "lang_pred string, score double, rejected boolean").asNondeterministic()(F.col(column)), unused(docs, "told")
-    own = ["lang_pred", "score", "rejected"]
-    return docs.withColumn(at, told).select(*[docs[c] for c in docs.columns if c not in own], *[F.col(at)[c].alias(c) for c in own])
+    own = zip(("lang_pred", "score", "rejected"), names)
+    return docs.withColumn(at, told).select(*[c for c in docs.columns if c not in names], *[F.col(at)[c].alias(name) for c, name in own])
 
 
 def held_out() -> Column:

@@ -20,17 +20,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, text_chunks, write_table
+from tidemark.llm.common import release_memory, shared_dir, text_chunks, write_table
 
 HEAD = struct.Struct("<8sIIQII")
 MAGIC = b"TMGRAM01"
 END = 0
 #: Ids in a file, more or less: a file holds whole documents.
-FILE_TOKENS = 2_000_000
+FILE_TOKENS = 1_000_000
 #: Occurrences from which a pair counts as frequent; a rule takes the place of six symbols itself.
 MIN_COUNT = 32
-#: Stretches of text whose ids a worker remembers (some 40 MB), and bytes that a stretch can have for that.
-WORDS, LANES = 1 << 20, 3
+#: Stretches of text whose ids a worker remembers (some 20 MB), and bytes that a stretch can have for that.
+WORDS, LANES = 1 << 19, 3
+#: Bytes of text that are encoded at a time.
+CHUNK = 1 << 21
 
 _U = np.uint64
 _DIGIT, _LETTER, _GRAPHIC, _BLANK = (np.zeros(256, bool) for _ in range(4))
@@ -202,6 +204,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget_encoders() -> None:
+    """Of a worker that goes on to other work."""
+    if _encoders:
+        _encoders.clear()
+        release_memory()
+
+
 def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The stretches flat[start : start + size], one after another."""
     ends = np.cumsum(size)
@@ -368,7 +377,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, file_tokens: int =
             return row
 
         for batch in batches:
-            for rows, b, first in text_chunks(batch, "text"):
+            for rows, b, first in text_chunks(batch, "text", CHUNK):
                 flat, counts = held.encode(b, first)
                 for doc, x in zip(batch.column("doc_id")[rows.start : rows.stop].to_pylist(), np.split(flat, np.cumsum(counts)[:-1])):
                     if ids and n + len(x) + 1 > file_tokens:
@@ -378,6 +387,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, file_tokens: int =
                     n += len(x) + 1
         if ids:
             yield flush()
+        release_memory()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     # sorting and cutting into ranges also bounds what a task encodes; ranges follow the sizes seen at run time
@@ -389,6 +399,7 @@ def read_files(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
     """Decodes the files: file, row (of the document in its file), doc_id, begin (first id in the file), n_tokens, ids_crc32 and, with ``ids``, the ids."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
                 f = TokenFile(data.as_buffer())
