@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of text that go to Python at a time.
+BATCH_ROWS = 1000
 #: Fixed value: the characters that separate words.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Fixed value: a word.
@@ -37,10 +39,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Python gets BATCH_ROWS rows at a time at most, beside Spark's own bound by bytes; then the session is as it was."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows = int(before)
+    spark.conf.set(key, BATCH_ROWS if rows <= 0 else min(rows, BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_table = path
     return out
