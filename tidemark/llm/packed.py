@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import write_table
+from tidemark.llm.common import release_memory, write_table
 
 #: Rows a task gathers before it sends them, and rows of a range of keys.
 CHUNK, ROWS = 1_000_000, 500_000
@@ -97,6 +97,7 @@ def by_key(docs: DataFrame, rows_of: Callable[[Iterator[pa.RecordBatch]], Iterat
                 n = 0
         if n:
             yield from flush()
+        release_memory()
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = [_unpack(x, width) for x in pdf["data"]]
@@ -108,6 +109,7 @@ def by_key(docs: DataFrame, rows_of: Callable[[Iterator[pa.RecordBatch]], Iterat
         n, m = len(kept[made[0]]), int(raw.sum())
         frame = {"raw": np.repeat([False, True], [n, m]), "key": np.concatenate([np.zeros(n, np.int64), keys[raw].view(np.int64)])}
         frame |= {f"c_{c}": np.concatenate([np.zeros(n, np.int64), x[raw]]) for c, x in zip(names, cols)}
+        release_memory()
         return pd.DataFrame(frame | {f"o_{c}": np.concatenate([kept[c], np.zeros(m, np.int64)]) for c in made})
 
     schema = ", ".join(["raw boolean, key long", *(f"c_{c} long" for c in names), *(f"o_{c} long" for c in made)])

@@ -8,11 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_bytes, text_chunks, write_table
+from tidemark.llm.common import release_memory, text_bytes, text_chunks, write_table
 from tidemark.llm.packed import Rows, by_key
 
 #: Repeated strings of this many bytes go. Suffixes start in buckets of their first GRAM bytes, and two of these, STEP apart, make up a string.
 LENGTH, GRAM, STEP = 100, 51, 49
+#: Bytes of text whose suffixes are looked at at a time: each takes some fifty bytes of memory meanwhile.
+CHUNK = 1 << 20
 
 _U = np.uint64
 #: Odd multipliers of the two lanes of identifiers, each mixed on its own.
@@ -78,7 +80,7 @@ def sampled(b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def _first_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
-        for rows, b, first in text_chunks(batch, "text"):
+        for rows, b, first in text_chunks(batch, "text", CHUNK):
             at, key, refined = sampled(b, first)
             text = np.searchsorted(first, at, "right") - 1
             # least identifiers are small ones: mixed again, they fill all ranges alike
@@ -124,6 +126,7 @@ def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         z = [c.compress(b[i:j]) for _, b, first in text_chunks(batch, "text") for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "z": pa.array(z, pa.binary())})
+    release_memory()
 
 
 def _unzip(z: bytes) -> bytes:
@@ -149,6 +152,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept = np.frombuffer(raw, np.uint8)[~gone[1:-1]].tobytes()
             rows.append((doc, int(gone.sum()), len(edge) // 2, edge.tolist(), kept))
         yield pd.DataFrame(rows, columns=["doc_id", "n_removed", "n_spans", "edges", "kept"])
+    release_memory()
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
